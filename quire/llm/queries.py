@@ -1,13 +1,17 @@
 """The subpackage's registered queries and their SQL."""
 
-from . import exact_dedup, jaccard_join
+from . import exact_dedup, jaccard_join, language_id, mixing, packing
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
+    "op2_source_mixing": mixing.query,
+    "op6_language_id": language_id.query,
     "op7_ngram_jaccard_join": jaccard_join.query,
     "op8_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op2_source_mixing": mixing.SQL,
     "op7_ngram_jaccard_join": jaccard_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
