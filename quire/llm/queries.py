@@ -1,10 +1,12 @@
 """The subpackage's registered queries and their SQL."""
 
-from . import exact_dedup, jaccard_join, language_id, mixing, packing
+from . import exact_dedup, jaccard_join, language_id, mixing, packing, quality_rules, secret_scan
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_source_mixing": mixing.query,
+    "op4_quality_rules": quality_rules.query,
+    "op5_secret_scan": secret_scan.query,
     "op6_language_id": language_id.query,
     "op7_ngram_jaccard_join": jaccard_join.query,
     "op8_exact_dedup": exact_dedup.query,
