@@ -9,10 +9,13 @@
    each with the OR of its members' token bitmaps and its range of sizes. A traversal of the tree against itself
    drops every pair of tree nodes whose largest possible overlap can't reach the threshold. Where more than
    ``block`` nodes meet, the root's children are spread over tasks, pair by pair.
-4. Surviving pairs are verified with the exact sets, read again from the texts.
+4. Pairs of sets of more than ``2 * route`` n-grams stay if they meet at two n-grams or more.
+5. What stays is verified with the exact sets, read again from the texts. Each set goes once to the task of its
+   connected component; components of more than ``cell`` n-grams are cut into blocks, and the pairs of blocks that hold
+   candidates are tasks of their own.
 
-The search is approximate in step 2 only; with the defaults a pair at the threshold is missed in less than 1 case in
-1000 (1 in 60 if it has the fewest usable n-grams), a closer pair far less often. There is no cap on partners.
+The search is approximate in steps 2 and 4 only; with the defaults a pair at the threshold is missed in 1 case in 2000
+(1 in 50 if it has the fewest usable n-grams), a closer pair far less often. There is no cap on partners.
 
 Defined results: a text without a word, an empty or a null text has no partner; repeated rows of one doc_id are one
 document and make no pair with themselves; rows with a null doc_id make no pair and are never removed; an empty table
@@ -33,10 +36,11 @@ from . import common
 N = 5
 THRESHOLD = 0.4
 ROUTE = 20
-NEED = 8
+NEED = 12
 HOT = 200
 WORDS = 8
 BLOCK = 2048
+CELL = 2_000_000
 LEAF, FAN = 32, 8
 BROADCAST_ROWS = 1_000_000
 _HASH_BITS = 53
@@ -67,6 +71,13 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int, hasher: common.Ru
     return keys & np.uint64((1 << _HASH_BITS) - 1), at
 
 
+def set_ids(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each whole set."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(grams + np.uint64(0x51ED270B)))])
+        return common.mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int64)))
 
@@ -81,14 +92,10 @@ def sketches(docs: DataFrame, n: int, route: int) -> DataFrame:
             for i, j, raw, offsets in common.pieces(common.column(batch, "text"), lower=True, most=common.CHUNK // 2):
                 # a chunk has 1024 rows at most, so row and hash fit in 64 bits
                 grams, at = shingle_sets(raw, offsets, n, hasher)
-                size = np.diff(at)
-                with np.errstate(over="ignore"):
-                    mixed = common.mix(grams + np.uint64(0x51ED270B))
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
-                    sid = common.mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)).view(np.int64)
+                size, sid = np.diff(at), set_ids(grams, at)
                 row = np.repeat(np.arange(j - i), size)
                 bits = np.zeros((j - i, 8 * WORDS), np.uint8)
-                bit = (mixed & np.uint64(64 * WORDS - 1)).astype(np.int64)
+                bit = (common.mix(grams) & np.uint64(64 * WORDS - 1)).astype(np.int64)
                 np.bitwise_or.at(bits, (row, bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
                 few = np.minimum(size, route)
                 pick = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(at[:-1], few)
@@ -198,12 +205,12 @@ class Flat:
         self.size, self.bits, self.set = size, bits, popcount(bits)
 
 
-def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each group; rows (gram, i, j, side, sid, size, bits) come sorted by group, side and size."""
+def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float, short: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each group, and whether one of the two has at most ``short`` n-grams; rows (gram, i, j, side, sid, size, bits) come sorted by group, side and size."""
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+    def out(sid: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        low, high = np.minimum(sid[p], sid[q]), np.maximum(sid[p], sid[q])
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.minimum(size[p], size[q]) <= short)], names=["a", "b", "short"])
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if not rows.num_rows:
@@ -224,20 +231,20 @@ def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
                 q = (begin[s : s + per, None] + high).ravel()
                 p, q = member_pairs(flat, flat, p, q, threshold)
                 if len(p):
-                    yield out(sid[p], sid[q])
+                    yield out(sid, size, p, q)
         for g in np.flatnonzero(~own | (length > LEAF)):
             s, e = at[g], at[g + 1]
             if own[g]:
                 tree, base = Tree(size[s:e], bits[s:e]), s
                 for p, q in tree_pairs(tree, tree, threshold, True):
                     if len(p):
-                        yield out(sid[base + p], sid[base + q])
+                        yield out(sid, size, base + p, base + q)
             else:
                 m = s + int(np.searchsorted(get["side"][s:e], 1))
                 if s < m < e:
                     for p, q in tree_pairs(Tree(size[s:m], bits[s:m]), Tree(size[m:e], bits[m:e]), threshold, False):
                         if len(p):
-                            yield out(sid[s + p], sid[m + q])
+                            yield out(sid, size, s + p, m + q)
 
     kept: list[pa.RecordBatch] = []
     for batch in batches:
@@ -266,7 +273,7 @@ def routed(nodes: DataFrame, threshold: float, hot: int) -> DataFrame:
     return met.filter(F.col("n") <= hot).select("gram", "sid").unionByName(forced.select("gram", "sid"))
 
 
-def candidates(nodes: DataFrame, threshold: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def candidates(nodes: DataFrame, threshold: float, route: int = ROUTE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b), a < b, of nodes that meet and whose signatures allow the threshold."""
     rows = routed(nodes, threshold, hot).join(nodes.select("sid", "size", "bits"), "sid")
     by = Window.partitionBy("gram")
@@ -279,21 +286,102 @@ def candidates(nodes: DataFrame, threshold: float, hot: int = HOT, block: int =
     large = rows.filter(F.col("n") > block).withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, of - 1)))
     large = large.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).select(cols)
     large = large.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side", "size", "sid")
-    found = [x.mapInArrow(lambda batches: group_pairs(batches, threshold), "a long, b long") for x in (small, large)]
-    return found[0].unionByName(found[1]).distinct()
+    found = [x.mapInArrow(lambda batches: group_pairs(batches, threshold, 2 * route), "a long, b long, short boolean") for x in (small, large)]
+    met = found[0].unionByName(found[1]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("short").alias("short"))
+    return met.filter("short OR times > 1").select("a", "b")
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(sid, grams) with the whole set; the sid comes with the row."""
+def placed_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(cells, sid, grams) of each row (asked, cells, text) whose whole set is the one asked for."""
 
     def run(batches):
         hasher = common.RunHasher()
         for batch in batches:
             for i, j, raw, offsets in common.pieces(common.column(batch, "text"), lower=True):
                 grams, at = shingle_sets(raw, offsets, n, hasher)
-                yield pa.RecordBatch.from_arrays([common.column(batch, "sid").slice(i, j - i), lists(grams, at)], names=["sid", "grams"])
+                asked = common.column(batch, "asked").slice(i, j - i)
+                made = pa.RecordBatch.from_arrays([common.column(batch, "cells").slice(i, j - i), asked, lists(grams, at)], names=["cells", "sid", "grams"])
+                yield made.filter(pa.array(set_ids(grams, at) == asked.to_numpy()))
+
+    return docs.select("asked", "cells", "text").mapInArrow(run, "cells array<struct<root:long,i:int,j:int>>, sid long, grams array<long>")
+
+
+def overlaps(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, most: int = 1 << 27) -> np.ndarray:
+    """Number of common n-grams of each pair."""
+    names = list(sets)
+    grams, rows = np.concatenate([sets[k] for k in names]), np.repeat(np.arange(len(names)), [len(sets[k]) for k in names])
+    _, code, count = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    if len(names) * len(shared) > most:
+        return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(a.tolist(), b.tolist())])
+    new = np.full(len(count), -1)
+    new[shared] = np.arange(len(shared))
+    code = new[code]
+    has = np.zeros((len(names), -(-max(1, len(shared)) // 64) * 64), bool)
+    has[rows[code >= 0], code[code >= 0]] = True
+    bits = np.packbits(has, axis=1).view(np.uint64)
+    at = {k: i for i, k in enumerate(names)}
+    p, q = np.array([at[k] for k in a.tolist()]), np.array([at[k] for k in b.tolist()])
+    step = max(1, (1 << 20) // bits.shape[1])
+    return np.concatenate([popcount(bits[p[i : i + step]] & bits[q[i : i + step]]) for i in range(0, len(p), step)])
+
+
+def verify_cells(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, jaccard) of each cell's pairs; a cell's rows come together, its sets (b is null) before its pairs."""
+    cell, sets, pairs = None, {}, []
+
+    def solve():
+        if not pairs:
+            return
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        size = {k: len(v) for k, v in sets.items()}
+        both = np.array([size[k] for k in a.tolist()]) + np.array([size[k] for k in b.tolist()])
+        shared = overlaps(sets, a, b)
+        jaccard = shared / (both - shared)
+        ok = jaccard >= threshold
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(jaccard[ok])], names=["a", "b", "jaccard"])
 
-    return docs.select("sid", "text").mapInArrow(run, "sid long, grams array<long>")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([common.column(batch, c).to_numpy().astype(np.int64) for c in ("root", "i", "j")])
+        a, b, grams = (common.column(batch, c) for c in ("a", "b", "grams"))
+        is_set = b.is_null().to_numpy(zero_copy_only=False)
+        left, right = a.to_numpy(), b.fill_null(0).to_numpy()
+        values, at = grams.values.to_numpy(), grams.offsets.to_numpy()
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])), batch.num_rows)
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if cell != (now := tuple(keys[:, s].tolist())):
+                yield from solve()
+                cell, sets, pairs = now, {}, []
+            m = s + int(is_set[s:e].sum())
+            for k in range(s, m):
+                sets[int(left[k])] = values[at[k] : at[k + 1]].copy()
+            if m < e:
+                pairs.append((left[m:e].copy(), right[m:e].copy()))
+    yield from solve()
+
+
+def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, threshold: float, cell: int = CELL) -> DataFrame:
+    """The pairs of ``found`` at or above the threshold, with their exact similarity (a, b, jaccard)."""
+    members = components(found).select("node", "root")
+    members = members.unionByName(members.select(F.col("root").alias("node"), "root")).distinct()
+    members = members.join(nodes.select(F.col("sid").alias("node"), "size", "doc_id"), "node")
+    up = F.sum("size").over(Window.partitionBy("root").orderBy("node")) - F.col("size")
+    members = common.stored(members.select("node", "root", "doc_id", F.floor(up / cell).cast("int").alias("block")), "members")
+    a = members.select(F.col("node").alias("a"), "root", F.col("block").alias("block_a"))
+    b = members.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
+    pairs = found.join(a, "a").join(b, "b").select("root", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b")
+    pairs = common.stored(pairs, "pairs")
+    cells = pairs.select("root", "i", "j").distinct().withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    asked = members.join(cells, ["root", "block"]).groupBy("node", "doc_id").agg(F.collect_list(F.struct("root", "i", "j")).alias("cells"))
+    asked = common.stored(asked.select(F.col("node").alias("asked"), F.col("doc_id").alias("asked_id"), "cells"), "asked")
+    side = asked if asked.count() > BROADCAST_ROWS else F.broadcast(asked)
+    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id").eqNullSafe(F.col("asked_id")))
+    sets = placed_sets(texts, n).select(F.explode("cells").alias("cell"), "sid", "grams").select("cell.*", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    rows = sets.unionByName(pairs.withColumn("grams", F.array().cast("array<long>")))
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(lambda batches: verify_cells(batches, threshold), "a long, b long, jaccard double")
 
 
 def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route: int = ROUTE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -301,16 +389,8 @@ def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route:
     sketch = common.stored(sketches(docs, n, route), "sketches")
     nodes = sketch.groupBy("sid").agg(F.min("size").alias("size"), F.first("grams").alias("grams"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
     nodes = common.stored(nodes, "nodes")
-    found = common.stored(candidates(nodes, threshold, hot), "candidates")
-    asked = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    asked = common.stored(sketch.select("doc_id", "sid").join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("asked_id")), "asked")
-    side = asked if asked.count() > BROADCAST_ROWS else F.broadcast(asked)
-    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id") == F.col("asked_id"))
-    sets = common.stored(sets_of(texts, n).dropDuplicates(["sid"]), "sets")
-    both = found.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("t"))
-    verified = shared.select("a", "b", (F.col("s") / (F.col("t") - F.col("s"))).alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    return sketch.select("doc_id", "sid"), common.stored(verified, "verified")
+    found = common.stored(candidates(nodes, threshold, route, hot), "candidates")
+    return sketch.select("doc_id", "sid"), common.stored(verified(docs, nodes, found, n, threshold), "verified")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route: int = ROUTE, hot: int = HOT) -> DataFrame:
