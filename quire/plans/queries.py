@@ -102,7 +102,7 @@ def search_counts(spark, sf_dir):
     return S.counts(books(spark, sf_dir), "C-1")
 
 
-@query("matching_sentences", f"WITH {BOOKS}, s AS (SELECT id, ordinal, {SENTENCES.format(t='lower(text)')} AS l FROM books) SELECT id, ordinal, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence FROM s")
+@query("matching_sentences", f"WITH {BOOKS}, s AS (SELECT id, ordinal, {SENTENCES.format(t='lower(text)')} AS l FROM books) SELECT id, ordinal, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS sentence FROM s")
 def matching_sentences(spark, sf_dir):
     found = S.by_content(books(spark, sf_dir), "tion")
     return found.select("id", "ordinal", F.posexplode("matched_text").alias("pos", "sentence"))
@@ -110,7 +110,7 @@ def matching_sentences(spark, sf_dir):
 
 @query(
     "highlight_split",
-    f"WITH {BOOKS}, p AS (SELECT id, ordinal, string_split(title, '1') AS l FROM books WHERE contains(lower(title), '1')), e AS (SELECT id, ordinal, unnest(l) AS part, generate_subscripts(l, 1) - 1 AS i FROM p) "
+    f"WITH {BOOKS}, p AS (SELECT id, ordinal, string_split(title, '1') AS l FROM books WHERE contains(lower(title), '1')), e AS (SELECT id, ordinal, unnest(l) AS part, (generate_subscripts(l, 1) - 1)::INT AS i FROM p) "
     "SELECT id, ordinal, 2 * i AS pos, part, false AS hit FROM e UNION ALL SELECT id, ordinal, 2 * i - 1, '1', true FROM e WHERE i > 0",
 )
 def highlight_split(spark, sf_dir):
@@ -169,7 +169,7 @@ def add_books(spark, sf_dir):
     return I.add_books(stored, added).select("id", "title", "author", "image", "encoding")
 
 
-@query("seed_manifest", "SELECT * FROM (VALUES " + ", ".join(f"({n}, '{u}', '{t[0]}', '{a[0]}', '{y}')" for n, (u, t, a, y) in enumerate(I.SEED)) + ") AS v(ordinal, url, title, author, author_date)")
+@query("seed_manifest", "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, '{u}', '{t[0]}', '{a[0]}', '{y}')" for n, (u, t, a, y) in enumerate(I.SEED)) + ") AS v(ordinal, url, title, author, author_date)")
 def seed_manifest(spark, sf_dir):
     return I.seed_manifest(spark).select("ordinal", "url", "title", "author", "author_date")
 
@@ -251,7 +251,7 @@ def sections(spark, sf_dir):
     return C.sections(talks(spark, sf_dir))
 
 
-@query("html_chapters", "SELECT page_id::VARCHAR AS id, generate_subscripts(l, 1) - 1 AS chapter_no, trim(unnest(l)) AS title FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) AS l FROM pages)")
+@query("html_chapters", "SELECT page_id::VARCHAR AS id, (generate_subscripts(l, 1) - 1)::INT AS chapter_no, trim(unnest(l)) AS title FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) AS l FROM pages)")
 def html_chapters(spark, sf_dir):
     found = C.chapters(read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text")), "<h1>", "</h1>")
     return found.select("id", "chapter_no", "title")
@@ -319,7 +319,7 @@ def page_step(spark, sf_dir):
 @query(
     "inbook_search",
     f"WITH {PAGED}, s AS (SELECT id, role AS title, page_no, {SENTENCES.format(t='text')} AS l FROM paged WHERE contains(text, 'tion')), g AS (SELECT id, title, min(page_no) AS first_page FROM s WHERE len(l) > 0 GROUP BY id, title), "
-    "e AS (SELECT id, title, page_no, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS x FROM s) SELECT id, title, first_page, page_no, seq, split_part(x, 'tion', 1) AS pre, 'tion' AS value, split_part(x, 'tion', 2) AS next FROM e JOIN g USING (id, title)",
+    "e AS (SELECT id, title, page_no, (generate_subscripts(l, 1) - 1)::INT AS seq, unnest(l) AS x FROM s) SELECT id, title, first_page, page_no, seq, split_part(x, 'tion', 1) AS pre, 'tion' AS value, split_part(x, 'tion', 2) AS next FROM e JOIN g USING (id, title)",
 )
 def inbook_search(spark, sf_dir):
     found = S.in_book(*lines(spark, sf_dir), "tion")
