@@ -7,6 +7,7 @@ import codecs
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Web labels to codecs that read at least what the label promises.
 CODECS = {
@@ -59,12 +60,12 @@ def decode_bytes(data: bytes | None, label: str | None) -> str | None:
     return bytes(data).decode(codec, "replace").removeprefix("﻿")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode(data: pd.Series, label: pd.Series) -> pd.Series:
     return pd.Series([decode_bytes(d, x) for d, x in zip(data, label)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _detect(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else detect_bytes(bytes(d)) for d in data], dtype=object)
 

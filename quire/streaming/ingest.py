@@ -12,9 +12,12 @@ from ..plans.schema import BOOKS
 from ..sources.ingest import prepared
 
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def watch(spark: SparkSession, folder: str, library: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append each batch's new contents to the Parquet library; a repeated batch adds nothing, as its keys are there."""
-    files = spark.readStream.format("binaryFile").load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).load(folder)
 
     def add(batch: DataFrame, _: int) -> None:
         rows = batch.select("content", last_segment(F.col("path")).alias("title"), F.unix_micros("modificationTime").alias("ordinal"))
