@@ -1,15 +1,10 @@
-import glob
 import sys
 from pathlib import Path
 
-import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
-DATA = "/root/testdata/sf0.01"
-SMALL = "/root/testdata/sf0.001"
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
@@ -26,17 +21,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df):
-    """Rows as comparable strings, columns by name."""
-    cols = sorted(df.columns)
-    values = df[cols].astype(object).where(df[cols].notna(), None).values.tolist()
-    return cols, sorted(map(repr, values))
-
-
-def oracle(sql, sf_dir=DATA):
-    db = duckdb.connect()
-    for p in glob.glob(f"{sf_dir}/*.parquet"):
-        db.execute(f"CREATE VIEW {Path(p).stem} AS SELECT * FROM '{p}'")
-    return db.sql(sql).df()

@@ -1,7 +1,7 @@
 """Every query that SQL can express, against DuckDB."""
 
 import pytest
-from conftest import DATA, oracle, rows
+from helpers import DATA, oracle, rows
 
 from quire.plans.queries import ORACLES, QUERIES
 
