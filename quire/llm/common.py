@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 1 << 20
 _MASK_SPLIT = np.uint64(31)
@@ -136,3 +137,8 @@ class RunHasher:
 def packed(df: DataFrame) -> DataFrame:
     """All columns in one struct ``row``, so that an operator's own columns can't clash with the caller's."""
     return df.select(F.struct("*").alias("row"))
+
+
+def row_and(rows: DataFrame, ddl: str, keep: tuple[str, ...] = ("row",)) -> T.StructType:
+    """The schema of the kept columns of ``rows`` and the new ones."""
+    return T.StructType([rows.schema[c] for c in keep] + T.StructType.fromDDL(ddl).fields)

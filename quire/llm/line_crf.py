@@ -198,8 +198,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
                 made = [pa.array(np.concatenate(quality)), pa.array(np.concatenate(lines), pa.int64()), pa.array(np.concatenate(goods), pa.int64())]
                 yield pa.RecordBatch.from_arrays([common.column(batch, "row"), *made], names=["row", "quality", "n_lines", "n_good"])
 
-    row = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {row}, quality double, n_lines long, n_good long")
+    return rows.mapInArrow(run, common.row_and(rows, "quality double, n_lines long, n_good long"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:

@@ -3,7 +3,8 @@
 A candidate is a run of at least ``MIN_LENGTH`` letters, digits, ``_ - + /`` (ASCII). First-order models, one for each
 alphabet of random strings and one of ordinary identifiers, are trained from labelled samples with add-half smoothing;
 the score is the best random model's log-likelihood less the ordinary model's, and a candidate scores as a secret if
-it reaches ``threshold`` nats in all and ``per_character`` nats a character.
+it reaches ``threshold`` nats in all and ``per_character`` nats a character, and has at least ``DISTINCT`` different
+characters (rulers and padding are no secrets).
 
 The labelled samples are bounded: ``SAMPLE`` strings of each kind. Random ones come from a seeded generator; ordinary ones
 are words of the corpus (letters only, hence no keys; those with the smallest hashes) and the identifiers and paths
@@ -28,6 +29,7 @@ MIN_LENGTH = 20
 SAMPLE = 4000
 THRESHOLD = 10.0
 PER_CHARACTER = 0.25
+DISTINCT = 6
 CHARACTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-+/"
 SIZE = len(CHARACTERS) + 1
 #: Index of each byte, 0 for what ends a run.
@@ -113,6 +115,7 @@ def scan(docs: DataFrame, model: Model | None = None, threshold: float = THRESHO
             for i, _, raw, offsets in common.pieces(common.column(batch, "text")):
                 starts, ends, score, kind = model.scan(raw, offsets)
                 ok = (score >= threshold) & (score >= per_character * (ends - starts))
+                ok[ok] = [len(np.unique(raw[s:e])) >= DISTINCT for s, e in zip(starts[ok], ends[ok])]
                 starts, ends, score, kind = starts[ok], ends[ok], score[ok], kind[ok]
                 if len(starts):
                     row = np.searchsorted(offsets, starts, "right") - 1

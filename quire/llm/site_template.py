@@ -193,8 +193,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             made = [common.column(batch, "row"), common.column(batch, "host"), pa.array(texts, pa.string()), pa.array(counts, pa.int32())]
             yield pa.RecordBatch.from_arrays(made, names=["row", "host", "text", "n_removed"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "host", "site", "html", *extra).mapInArrow(run, f"row {kind}, host string, text string, n_removed int")
+    return rows.select("row", "host", "site", "html", *extra).mapInArrow(run, common.row_and(rows, "host string, text string, n_removed int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

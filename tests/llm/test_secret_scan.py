@@ -1,0 +1,46 @@
+import re
+
+import numpy as np
+from helpers import DATA
+
+from quire.llm import secret_scan as s
+
+
+def test_held_out_samples(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    words = s.corpus_words(docs)
+    model = s.Model(s.random_samples() + s.ordinary_samples(words[::2]))
+
+    def rate(strings):
+        hit = total = 0
+        for x in strings:
+            if len(x) >= s.MIN_LENGTH:
+                raw = np.frombuffer(x.encode(), np.uint8)
+                starts, ends, score, _ = model.scan(raw, np.array([0, len(raw)]))
+                total += 1
+                hit += bool((score >= np.maximum(s.THRESHOLD, s.PER_CHARACTER * (ends - starts))).any())
+        return hit / total
+
+    assert rate([x for _, x in s.random_samples(seed=99)]) > 0.97
+    assert rate([x for _, x in s.ordinary_samples(words[1::2], seed=98)]) < 0.01
+    assert rate(["get_user_account_by_identifier", "path/to/the/configuration/file", "20240131235959123456789"]) == 0
+
+
+def test_planted_tokens(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = {(r.doc_id, r.byte_start, r.byte_end) for r in s.query(spark, DATA).collect()}
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text):
+            at = len(r.text[: m.start(1)].encode())
+            want.add((r.doc_id, at, at + 40))
+    assert want and want <= found and len(found) < 1.3 * len(want)
+
+
+def test_edges(spark, nasty):
+    key = "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"
+    odd = spark.createDataFrame([(1, "é " + key + " " + key, "x"), (1, "é " + key + " " + key, "x"), (None, key, "x"), (2, None, None), (3, "", "x"), (4, "a" * 3_000_000, "x"), (5, key[:19], "x")], "doc_id long, text string, kind string")
+    found = s.scan(odd).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.byte_start, r.byte_end) for r in found) == sorted([(False, 1, 3, 43), (False, 1, 44, 84)] * 2 + [(True, None, 0, 40)])
+    assert all(r.masked == key[:4] + "*" * 36 for r in found)
+    assert s.scan(nasty).count() == 0 and s.scan(nasty.limit(0)).count() == 0
