@@ -76,3 +76,8 @@ def decode_text(content: Column, encoding: Column) -> Column:
 
 def detect_encoding(content: Column) -> Column:
     return _detect(content)
+
+
+def transform_text(content: Column) -> Column:
+    """Detected and decoded in one go; null for no text."""
+    return F.nullif(decode_text(content, detect_encoding(content)), F.lit(""))

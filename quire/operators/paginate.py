@@ -116,6 +116,20 @@ def contents(titles: DataFrame, pages: DataFrame) -> DataFrame:
     return titles.select("id", "title_id", "title").join(first_pages(pages), ["id", "title_id"], "left")
 
 
+def linked_starts(pages: DataFrame) -> DataFrame:
+    """``pages`` with each start set to the end of the page before in its section, the first to 0."""
+    return pages.withColumn("start", F.lag("end", 1, 0).over(Window.partitionBy("id", "title_id").orderBy("page_in_title")))
+
+
+def tree(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """One row a book: total_pages, page_text and page_title_id by page, titles by title_id, and first_page_of, title_id to first page."""
+    by_page = pages.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page_no", "title_id", "text"))).alias("p"))
+    by_title = titles.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("title_id", "title"))).alias("t"))
+    first = first_pages(pages).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("title_id", "first_page_compat")))).alias("first_page_of"))
+    found = by_title.join(by_page, "id", "left").join(first, "id", "left")
+    return found.select("id", F.coalesce(F.size("p"), F.lit(0)).alias("total_pages"), F.col("p.text").alias("page_text"), F.col("p.title_id").alias("page_title_id"), F.col("t.title").alias("titles"), "first_page_of")
+
+
 def spread(pages: DataFrame, page_no: int, desktop: bool = True) -> DataFrame:
     """The one or two pages in view."""
     return pages.filter(F.col("page_no").between(page_no, page_no + int(desktop)))

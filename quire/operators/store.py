@@ -18,6 +18,12 @@ def drop(spark: SparkSession, database: str) -> None:
     spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
 
 
+def refresh(spark: SparkSession, name: str = "books") -> DataFrame:
+    """The table as it is stored now."""
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def scan(books: DataFrame) -> DataFrame:
     return books.orderBy("id")
 

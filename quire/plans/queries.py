@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.charset import decode_text, detect_encoding
+from ..functions import web
+from ..functions.charset import decode_text, detect_encoding, transform_text
 from ..operators import chapters as C
 from ..operators import paginate as P
 from ..operators import search as S
 from ..operators import store as K
 from ..sources import ingest as I
+from ..streaming.debounce import debounced
 
 QUERIES, ORACLES = {}, {}
 HEIGHT, WIDTH = 600, 400
@@ -326,6 +328,51 @@ def inbook_search(spark, sf_dir):
     return found.select("id", "title", "first_page", F.explode("hits").alias("h")).select("id", "title", "first_page", "h.*")
 
 
+@query(
+    "syntax_tree",
+    f"WITH {PAGED}, f AS ({FIRST}) SELECT id, len(page_text)::INT AS total_pages, array_to_string(page_text, '|') AS page_text, array_to_string(page_title_id, ',') AS page_title_id, "
+    "(SELECT string_agg(role, ',' ORDER BY turn) FROM conversations c WHERE c.conv_id::VARCHAR = id) AS titles, (SELECT first_page_compat FROM f WHERE f.id = g.id AND f.title_id = g.t) AS first_of_first "
+    "FROM (SELECT id, list(text ORDER BY page_no) AS page_text, list(title_id ORDER BY page_no) AS page_title_id, min(title_id) AS t FROM paged GROUP BY id) AS g",
+)
+def syntax_tree(spark, sf_dir):
+    tree = P.tree(*lines(spark, sf_dir))
+    first = F.element_at("first_page_of", F.array_min("page_title_id"))
+    return tree.select("id", "total_pages", F.array_join("page_text", "|").alias("page_text"), F.array_join(F.col("page_title_id").cast("array<string>"), ",").alias("page_title_id"), F.array_join("titles", ",").alias("titles"), first.alias("first_of_first"))
+
+
+@query("page_start", f'WITH {PAGED} SELECT id, title_id, page_in_title::INT AS page_in_title, coalesce(sum(length(text)) OVER (PARTITION BY id, title_id ORDER BY page_in_title ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM paged')
+def page_start(spark, sf_dir):
+    ends = F.sum(F.length("text")).over(Window.partitionBy("id", "title_id").orderBy("page_in_title"))
+    return P.linked_starts(lines(spark, sf_dir)[0].withColumn("end", ends)).select("id", "title_id", "page_in_title", "start")
+
+
+@query("transform_text", "SELECT doc_id, text FROM documents")
+def transform(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", transform_text(F.encode("text", "UTF-8")).alias("text"))
+
+
+@query("cacheable_requests", "SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND page_id % 4 <> 0 AND NOT contains(url, 'blog.') AND NOT contains(url, '?')")
+def cacheable_requests(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    ok = web.cacheable(F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET"), F.when(F.col("page_id") % 4 == 0, 404).otherwise(200), F.col("url"), ["blog.", "?"])
+    return p.filter(ok).select("page_id")
+
+
+@query("stale_caches", "SELECT DISTINCT source AS name FROM documents WHERE source NOT IN ('src1', 'src2')")
+def stale_caches(spark, sf_dir):
+    names = read(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
+    return web.stale(names, spark.createDataFrame([("src1",), ("src2",)], "name string"))
+
+
+@query(
+    "debounce",
+    "WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 1 HOUR, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g) SELECT user_id, (max(ts) + INTERVAL 1 HOUR)::VARCHAR AS fired, arg_max(event_id, ts) AS event_id FROM s GROUP BY user_id, burst",
+)
+def debounce(spark, sf_dir):
+    return debounced(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", "1 hour").withColumn("fired", F.col("fired").cast("timestamp_ntz").cast("string"))
+
+
 @query("decode_text", "SELECT doc_id, text, CASE doc_id % 2 WHEN 0 THEN 'utf-8' ELSE 'utf-16le' END AS encoding FROM documents")
 def decode(spark, sf_dir):
     d = read(spark, sf_dir, "documents")

@@ -128,3 +128,26 @@ def test_sections(spark):
         made.setdefault(r.id, {})[r.title_id] = (r.title, r.section)
     assert made == {"0": {0: ("T", "abc")}, "1": {0: ("Preface", "pre"), 1: ("A", " A xx"), 2: ("B", "Byy")}, "2": {0: ("Preface", ""), 1: ("A", "Ax")}, "3": {0: ("T", "A")}, "4": {0: ("T", "")}} or made["4"] == {0: ("T", None)}
     assert [(r.start, r.end) for r in chapters.chapters(books.filter("id = 1")).collect()] == [(3, 39), (39, 73)]
+
+
+def test_dispatch(spark):
+    from quire.operators.dispatch import perform
+
+    books = texts(spark, ("A", "x", "rain"), ("B", "y", "sun"))
+    assert [r.id for r in perform("getAll", books).collect()] == ["0", "1"]
+    assert [r.id for r in perform("search", books, keyword="RAIN", search_type="content").collect()] == ["0"]
+    for bad in (lambda: perform("nope", books), lambda: perform("search", books, keyword="a", search_type="nope")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_debounced_stream(spark, tmp_path):
+    from quire.streaming.debounce import debounced
+
+    rows = [(1, 0.0, "a"), (1, 0.3, "ab"), (1, 2.0, "abc"), (2, 0.1, "z"), (9, 60.0, "later")]
+    df = spark.createDataFrame(rows, "user long, s double, v string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = debounced(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "user", "ts", "v", watermark="1 second")
+    q = stream.writeStream.format("memory").queryName("debounced").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.user, r.v) for r in spark.table("debounced").collect()) == [(1, "ab"), (1, "abc"), (2, "z")]
