@@ -6,6 +6,8 @@ boundaries, so memory follows the longest document and not the batch.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 
 CHUNK = 1 << 20
 _MASK_SPLIT = np.uint64(31)
+_WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quire-")
+        made = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        folder = "file://" + made
         spark.conf.set("quire.shared.dir", folder)
     return folder.rstrip("/")
 
@@ -38,9 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables stored so far, once every result that was made from them has been written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

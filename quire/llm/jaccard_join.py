@@ -42,7 +42,7 @@ WORDS = 8
 BLOCK = 2048
 CELL = 2_000_000
 LEAF, FAN = 32, 8
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 _HASH_BITS = 53
 IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 
@@ -266,7 +266,9 @@ def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float, short: int)
 def routed(nodes: DataFrame, threshold: float, hot: int) -> DataFrame:
     """(gram, sid) rows under which nodes meet."""
     each = nodes.select("sid", F.explode("grams").alias("gram"), F.size("grams").alias("held"), F.least(F.lit(NEED), F.col("size") - F.ceil(threshold * F.col("size")) + 1).cast("int").alias("need"))
-    met = common.stored(each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("n > 1"), "met")
+    # counted with partial sums and joined back, not in a window: a hot n-gram's rows may be split over tasks
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = common.stored(each.join(counts, "gram"), "met")
     heated = met.filter(F.col("n") > hot)
     counts = heated.groupBy("sid").agg(F.count(F.lit(1)).alias("heated"))
     forced = heated.join(counts, "sid").filter(F.col("held") - F.col("heated") < F.col("need"))

@@ -48,6 +48,22 @@ def test_every_path_gives_the_same_pairs(spark):
     assert j.verified(docs, nodes, found, 5, 0.4, cell=1000).count() == every
 
 
+def test_beyond_the_broadcast_bound(spark, nasty, same, monkeypatch):
+    monkeypatch.setattr(j, "BROADCAST_ROWS", -1)
+    same(j.drop_near(nasty), [1, 1, 3, 4, 5, 6, 7, 9, 10, 11, 12, None, None])
+    docs = variants(spark, 60)
+    assert j.join(docs).count() == 60 * 59 // 2 and j.drop_near(docs).count() == 1
+
+
+def test_stored_tables_can_be_released(spark):
+    path = common.stored(spark.range(3), "t").inputFiles()[0]
+    import os
+
+    assert os.path.exists(path.removeprefix("file://"))
+    common.release(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def brute_components(edges):
     root = {}
 
