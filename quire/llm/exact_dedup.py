@@ -62,42 +62,33 @@ def heavy_winners(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return digests.join(candidates, "digest").groupBy("digest").agg(F.min("id").alias("winner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
-def split(docs: DataFrame, counters: int = COUNTERS, carry: bool = True) -> DataFrame:
-    """One row a distinct text, as ``row`` (the caller's columns; only doc_id unless ``carry``), ``digest`` and ``copies``."""
-    tie = [F.col(f"row.{c}") for c in ("source", "lang") if carry and c in docs.columns]
-    base = docs.select((F.struct("*") if carry else F.struct("doc_id")).alias("row"), digest(F.col("text")).alias("digest"))
-    narrow = common.stored(docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), digest(F.col("text")).alias("digest")), "digests")
-    heavy = common.stored(heavy_winners(narrow, counters), "heavy")
-    if not carry:
-        base = narrow.select(F.struct(F.col("id").alias("doc_id")).alias("row"), "digest")
-    kept = (
-        base.join(F.broadcast(heavy.withColumnRenamed("digest", "heavy_digest")), F.col("digest") == F.col("heavy_digest"), "left")
-        .filter(F.col("heavy_digest").isNull() | F.col("winner").isNull() | (F.col("row.doc_id") <= F.col("winner")))
-        .select("row", "digest", F.col("copies").alias("heavy_copies"))
-    )
-    by = Window.partitionBy("digest")
-    settled = (
-        kept.filter(F.col("digest").isNotNull())
-        .withColumn("place", F.row_number().over(by.orderBy(F.col("row.doc_id").asc_nulls_last(), *tie)))
-        .withColumn("copies", F.coalesce(F.max("heavy_copies").over(by), F.count(F.lit(1)).over(by)))
-        .filter("place = 1")
-        .select("row", "digest", "copies")
-    )
-    if not carry:
-        return settled
-    return settled.unionByName(base.filter(F.col("digest").isNull()).select("row", "digest", F.lit(1).cast("long").alias("copies")))
+def split(docs: DataFrame, rows: DataFrame | None, counters: int) -> DataFrame:
+    """``rows`` (row, digest; or just the doc_ids) without the copies that lose to a heavy digest's winner, and ``heavy_copies`` of heavy digests."""
+    narrow = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), digest(F.col("text")).alias("digest"))
+    narrow = common.stored(narrow, "digests")
+    heavy = common.stored(heavy_winners(narrow, counters), "heavy").withColumnRenamed("digest", "heavy_digest")
+    rows = narrow.select(F.struct(F.col("id").alias("doc_id")).alias("row"), "digest") if rows is None else rows
+    joined = rows.join(F.broadcast(heavy), F.col("digest") == F.col("heavy_digest"), "left")
+    kept = joined.filter(F.col("heavy_digest").isNull() | F.col("winner").isNull() | (F.col("row.doc_id") <= F.col("winner")))
+    return kept.select("row", "digest", F.col("copies").alias("heavy_copies"))
 
 
 def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """``docs`` without its exact copies, columns unchanged."""
-    return split(docs, counters).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), digest(F.col("text")).alias("digest"))
+    kept = split(docs, rows.filter("digest IS NOT NULL"), counters)
+    tie = [F.col(f"row.{c}") for c in ("source", "lang") if c in docs.columns]
+    order = Window.partitionBy("digest").orderBy(F.col("row.doc_id").asc_nulls_last(), *tie)
+    first = kept.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row")
+    return first.unionByName(rows.filter("digest IS NULL").select("row")).select("row.*")
 
 
 def survivors(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """doc_id, digest (hex; null for a null text) and number of copies of every row that stays; texts aren't shuffled."""
-    settled = split(docs, counters, carry=False).select("row.doc_id", F.lower(F.hex("digest")).alias("digest"), "copies")
-    textless = docs.filter(F.col("text").isNull()).select("doc_id", F.lit(None).cast("string").alias("digest"), F.lit(1).cast("long").alias("copies"))
-    return settled.unionByName(textless)
+    kept = split(docs, None, counters)
+    settled = kept.groupBy("digest").agg(F.min("row.doc_id").alias("doc_id"), F.coalesce(F.max("heavy_copies"), F.count(F.lit(1))).alias("copies"))
+    textless = docs.filter("text IS NULL").select("doc_id", F.lit(None).cast("string").alias("digest"), F.lit(1).cast("long").alias("copies"))
+    return settled.select("doc_id", F.lower(F.hex("digest")).alias("digest"), "copies").unionByName(textless)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
