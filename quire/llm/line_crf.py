@@ -5,9 +5,10 @@ word lengths, repetition, how it ends); the chain adds a start and a transition
 each line's marginal probability of good, and their mean weighted by length is the document's quality. Lines are
 separated by line feeds; lines of white space only aren't lines.
 
-Training maximises the penalised conditional likelihood of a bounded sample: ``sample`` documents of each label, those with the smallest
-hashes, of at most ``train_lines`` lines each; every line has its document's label (distant supervision). Features
-are computed on the executors. Scoring covers all lines of all documents.
+Training maximises the penalised conditional likelihood of a bounded sample: 2 * ``sample`` labelled documents in the
+labels' proportions (``LEAST`` of a label at least, so that the marginals keep the true prior), those with the smallest
+hashes, of at most ``train_lines`` lines each; every line has its document's label (distant supervision). Features are computed on the
+executors. Scoring covers all lines of all documents.
 
 Defined results: null and empty texts and those without a line have quality 0 and are not kept; without labelled
 documents of both kinds each line has 0.5, which is kept; repeated rows are scored each; an empty table gives an empty table;
@@ -25,6 +26,7 @@ from . import common
 
 SAMPLE = 600
 TRAIN_LINES = 64
+LEAST = 100
 KEEP = 0.5
 PIECE = 2 << 20
 
@@ -155,7 +157,10 @@ class Crf:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines: int = TRAIN_LINES) -> Crf:
     h = F.xxhash64(F.lit("crf"), F.col("doc_id"))
-    each = [labels.filter(F.col("quality") == k).select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64(F.lit("crf"), F.col("of")), "of").limit(sample) for k in (0, 1)]
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("quality")).distinct()
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    wanted = {k: max(LEAST, round(2 * sample * n / sum(counts.values()))) for k, n in counts.items()}
+    each = [known.filter(F.col("quality") == k).orderBy(F.xxhash64(F.lit("crf"), F.col("of")), "of").limit(wanted.get(k, 0)) for k in (0, 1)]
     chosen = common.stored(each[0].unionByName(each[1]), "crf-sample")
     text = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("quality", "text", h.alias("h"))
 
