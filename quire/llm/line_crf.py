@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -163,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines:
     each = [known.filter(F.col("quality") == k).orderBy(F.xxhash64(F.lit("crf"), F.col("of")), "of").limit(wanted.get(k, 0)) for k in (0, 1)]
     chosen = common.stored(each[0].unionByName(each[1]), "crf-sample")
     text = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("quality", "text", h.alias("h"))
+    one = Window.partitionBy("quality", "h").orderBy("text")  # of repeated rows one is enough
+    text = text.withColumn("place", F.row_number().over(one)).filter("place = 1").drop("place")
 
     def run(batches):
         hasher = common.RunHasher()
