@@ -26,7 +26,8 @@ def trim(value: Column) -> Column:
 
 
 def without_markers(text: Column, start: str = OPEN, end: str = CLOSE) -> Column:
-    return F.replace(F.replace(text, F.lit(start), F.lit("")), F.lit(end), F.lit(""))
+    """Without the opening tags, then without the closing ones; a regular expression of just a literal skips along the text."""
+    return F.regexp_replace(F.regexp_replace(text, quoted(start), ""), quoted(end), "")
 
 
 def without_first(text: Column, literal: str) -> Column:

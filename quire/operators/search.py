@@ -35,7 +35,9 @@ def by_content(texts: DataFrame, keyword: str) -> DataFrame:
     kw = usable(keyword)
     base = texts.withColumn("_plain", plain(F.col("text")))
     found = base.filter(F.contains("_plain", F.lit((kw or "").lower()))) if kw else none(base)
-    return found.withColumn("matched_text", sentences_with(F.col("_plain"), (kw or "").lower())).drop("_plain").orderBy("id")
+    found = found.withColumn("matched_text", sentences_with(F.col("_plain"), (kw or "").lower())).drop("_plain")
+    # an exchange of its own below the sort: the sort's sampling pass would find the sentences a second time
+    return found.repartition("id").orderBy("id")
 
 
 def counts(texts: DataFrame, keyword: str) -> DataFrame:

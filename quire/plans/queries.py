@@ -49,9 +49,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as stored books."""
+def wide(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, spread over them; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def books(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    """``documents`` as stored books; ``texts``: for work on whole texts."""
     d = read(spark, sf_dir, "documents")
+    d = wide(d.select("doc_id", "text", "source")) if texts else d
     return d.select(F.md5(F.encode("text", "UTF-8")).alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("author"), "text", F.col("doc_id").alias("ordinal"))
 
 
@@ -82,7 +89,7 @@ SHELF = BOOKS + ", shelf AS (SELECT id, arg_min(title, ordinal) AS title, arg_mi
 
 @query("search_content", f"WITH {BOOKS} SELECT id, title, {SENTENCES.format(t='lower(text)')}[1] AS first_snippet FROM books WHERE contains(lower(text), 'tion')")
 def search_content(spark, sf_dir):
-    found = S.by_content(books(spark, sf_dir), "TION")
+    found = S.by_content(books(spark, sf_dir, True), "TION")
     return found.select("id", "title", F.get("matched_text", F.lit(0)).alias("first_snippet"))
 
 
@@ -101,13 +108,14 @@ def search_author(spark, sf_dir):
     f"WITH {BOOKS} SELECT count(*) FILTER (contains(lower(title), 'c-1')) AS title_hits, count(*) FILTER (contains(lower(author), 'c-1')) AS author_hits, count(*) FILTER (contains(lower(text), 'c-1')) AS content_hits FROM books",
 )
 def search_counts(spark, sf_dir):
-    return S.counts(books(spark, sf_dir), "C-1")
+    return S.counts(books(spark, sf_dir, True), "C-1")
 
 
 @query("matching_sentences", f"WITH {BOOKS}, s AS (SELECT id, ordinal, {SENTENCES.format(t='lower(text)')} AS l FROM books) SELECT id, ordinal, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS sentence FROM s")
 def matching_sentences(spark, sf_dir):
-    found = S.by_content(books(spark, sf_dir), "tion")
-    return found.select("id", "ordinal", F.posexplode("matched_text").alias("pos", "sentence"))
+    found = S.by_content(books(spark, sf_dir, True), "tion")
+    each = found.select("id", "ordinal", F.posexplode_outer("matched_text").alias("pos", "sentence"))
+    return each.filter("pos IS NOT NULL")  # the inner form would find the sentences again to test for empty lists
 
 
 @query(
@@ -166,7 +174,7 @@ def delete_by_key(spark, sf_dir):
 
 @query("add_books", f"WITH {SHELF} SELECT id, CASE WHEN ordinal % 2 = 0 THEN title ELSE 'doc-' || ordinal END AS title, author, '' AS image, 'utf-8' AS encoding FROM shelf")
 def add_books(spark, sf_dir):
-    added = books(spark, sf_dir).withColumn("content", F.encode("text", "UTF-8")).drop("text", "id")
+    added = books(spark, sf_dir, True).withColumn("content", F.encode("text", "UTF-8")).drop("text", "id")
     stored = K.first_wins(I.prepared(added)).filter("ordinal % 2 = 0").drop("ordinal")
     return I.add_books(stored, added).select("id", "title", "author", "image", "encoding")
 
@@ -255,7 +263,7 @@ def sections(spark, sf_dir):
 
 @query("html_chapters", "SELECT page_id::VARCHAR AS id, (generate_subscripts(l, 1) - 1)::INT AS chapter_no, trim(unnest(l)) AS title FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) AS l FROM pages)")
 def html_chapters(spark, sf_dir):
-    found = C.chapters(read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text")), "<h1>", "</h1>")
+    found = C.chapters(wide(read(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text")), "<h1>", "</h1>")
     return found.select("id", "chapter_no", "title")
 
 
@@ -375,7 +383,7 @@ def debounce(spark, sf_dir):
 
 @query("decode_text", "SELECT doc_id, text, CASE doc_id % 2 WHEN 0 THEN 'utf-8' ELSE 'utf-16le' END AS encoding FROM documents")
 def decode(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
+    d = wide(read(spark, sf_dir, "documents").select("doc_id", "text"))
     marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
     e = d.select("doc_id", marked.alias("content")).withColumn("encoding", detect_encoding(F.col("content")))
     return e.select("doc_id", decode_text(F.col("content"), F.col("encoding")).alias("text"), "encoding")
