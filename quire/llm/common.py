@@ -56,7 +56,10 @@ def release(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a scan of fewer partitions than there are cores is spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if name not in ("documents", "pages") or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
