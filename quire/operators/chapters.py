@@ -34,9 +34,14 @@ def _found(texts: DataFrame, start: str, end: str) -> DataFrame:
     return base.withColumn("marks", marks).drop("_marks", "_titles", "_gaps", "_starts")
 
 
+def _each(df: DataFrame, array: Column, pos: str, value: str, *keep: str) -> DataFrame:
+    """The array's elements as rows. The outer form with a filter behind it: for the inner one the planner repeats the array's whole expression in a test for empty arrays."""
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+
+
 def chapters(texts: DataFrame, start: str = OPEN, end: str = CLOSE) -> DataFrame:
     """(id, chapter_no, title, start, end) of each marked chapter; start is that of its opening tag."""
-    return _found(texts, start, end).select("id", F.posexplode("marks").alias("chapter_no", "m")).select("id", "chapter_no", "m.title", "m.start", "m.end")
+    return _each(_found(texts, start, end), F.col("marks"), "chapter_no", "m", "id").select("id", "chapter_no", "m.title", "m.start", "m.end")
 
 
 def sections(texts: DataFrame, preface: str = "Preface", start: str = OPEN, end: str = CLOSE) -> DataFrame:
@@ -45,16 +50,16 @@ def sections(texts: DataFrame, preface: str = "Preface", start: str = OPEN, end:
     first = F.struct(F.lit(preface).alias("title"), F.lit(0).alias("start"), F.get("marks", F.lit(0))["start"].alias("end"))
     whole = F.struct(F.col("title"), F.lit(0).alias("start"), F.length("text").alias("end"))
     spans = F.when(F.size("marks") > 0, F.concat(F.array(first), "marks")).otherwise(F.array(whole))
-    each = found.select("id", "text", F.posexplode(spans).alias("title_id", "s"))
+    each = _each(found, spans, "title_id", "s", "id", "text")
     body = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     return each.select("id", "title_id", "s.title", without_first_markers(body, start, end).alias("section"))
 
 
 def numbered_headings(texts: DataFrame) -> DataFrame:
     """(id, n, heading) of Chinese-numbered and Chapter headings."""
-    return texts.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(NUMBERED), F.lit(0))).alias("n", "heading"))
+    return _each(texts, F.regexp_extract_all("text", F.lit(NUMBERED), F.lit(0)), "n", "heading", "id")
 
 
 def roman_headings(texts: DataFrame) -> DataFrame:
     """(id, n, heading) of Roman numerals that stand alone."""
-    return texts.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(ROMAN), F.lit(1))).alias("n", "heading"))
+    return _each(texts, F.regexp_extract_all("text", F.lit(ROMAN), F.lit(1)), "n", "heading", "id")

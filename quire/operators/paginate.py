@@ -86,7 +86,8 @@ def bounds(section: Column, height: int, width: int) -> Column:
 def pages(titles: DataFrame, height: int, width: int) -> DataFrame:
     """(id, page_no, title_id, page_in_title, start, end, text) of all sections; start and end are the section's own."""
     text = titles.select("id", "title_id", one_newline(F.col("section")).alias("section"))
-    each = text.withColumn("b", bounds(F.col("section"), height, width)).select("id", "title_id", "section", F.posexplode("b").alias("page_in_title", "b"))
+    each = text.withColumn("b", bounds(F.col("section"), height, width)).select("id", "title_id", "section", F.posexplode_outer("b").alias("page_in_title", "b"))
+    each = each.filter("page_in_title IS NOT NULL")  # the inner form would lay out again to test for empty lists
     cut = each.select("id", "title_id", "page_in_title", "b.start", "b.end", F.substring("section", F.col("b.start") + 1, F.col("b.end") - F.col("b.start")).alias("text"))
     return numbered(cut)
 

@@ -61,7 +61,7 @@ def in_book(pages: DataFrame, titles: DataFrame, keyword: str) -> DataFrame:
     """
     kw = usable(keyword)
     found = pages.filter(F.contains("text", F.lit(kw))) if kw else none(pages)
-    each = found.select("id", "title_id", "page_no", F.posexplode(sentences_with(F.col("text"), kw or "")).alias("seq", "s"))
+    each = found.select("id", "title_id", "page_no", F.posexplode_outer(sentences_with(F.col("text"), kw or "")).alias("seq", "s")).filter("seq IS NOT NULL")
     hit = F.struct("page_no", "seq", F.split_part("s", F.lit(kw), F.lit(1)).alias("pre"), F.lit(kw).alias("value"), F.split_part("s", F.lit(kw), F.lit(2)).alias("next"))
     named = each.join(titles.select("id", "title_id", "title"), ["id", "title_id"])
     return named.groupBy("id", "title").agg(F.min("page_no").alias("first_page"), F.array_sort(F.collect_list(hit)).alias("hits"))
