@@ -84,7 +84,7 @@ def estimate(counts: dict[str, int], rounds: int = 500, tolerance: float = 1e-9)
     """(share of good documents, accuracy of each rule on good ones, on bad ones, posterior of each pattern) from the counts of the patterns."""
     patterns = sorted(p for p in counts if p != "none")
     posterior = {p: 0.0 for p in counts if p == "none"}
-    rules = len(votes())
+    rules = len(patterns[0]) if patterns else 0
     on_good, on_bad, share = np.full(rules, 0.95), np.full(rules, 0.4), 0.8
     if not patterns:
         return share, on_good, on_bad, posterior

@@ -26,6 +26,19 @@ def test_held_out_samples(spark):
     assert rate(["get_user_account_by_identifier", "path/to/the/configuration/file", "20240131235959123456789"]) == 0
 
 
+def test_scores_against_brute_force():
+    """Every run and its score, character by character."""
+    model = s.Model(s.random_samples(400) + s.ordinary_samples(["alpha", "beta", "gamma", "delta"], 400))
+    text = "plain words, 0123456789abcdef0123456789abcdef; x_alpha_beta_gamma_delta é AbCdEfGhIjKlMnOpQrStUvWx é" + "z" * 25
+    raw = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, score, kind = model.scan(raw, np.array([0, len(raw)]))
+    want = [m for m in re.finditer(rb"[A-Za-z0-9_+/-]{20,}", text.encode())]
+    assert [(m.start(), m.end()) for m in want] == list(zip(starts.tolist(), ends.tolist()))
+    for m, got, k in zip(want, score, kind):
+        totals = [sum(r[s.CODE[m[0][i - 1]] if i else 0, s.CODE[c]] for i, c in enumerate(m[0])) for r in model.ratio]
+        assert abs(max(totals) - got) < 1e-9 and totals[k] == max(totals)
+
+
 def test_planted_tokens(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = {(r.doc_id, r.byte_start, r.byte_end) for r in s.query(spark, DATA).collect()}
