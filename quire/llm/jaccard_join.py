@@ -2,20 +2,21 @@
 
 1. Each text becomes the set of its distinct word ``n``-grams (lower case, runs of letters and digits; a text of fewer
    words is one n-gram of all of them), as 53-bit hashes. Texts with equal sets are one *node* from here on.
-2. Every node is routed to its ``route`` smallest n-gram hashes. N-grams that more than ``hot`` nodes route to
-   (licence lines, shared passages) come last in the order: a node uses them only if it has too few others for the
-   prefix it needs. Two sets of similarity J share no routing n-gram with probability about (1 - J) ** route.
+2. Every node is routed to its ``route`` smallest n-gram hashes, however many others hold them. Two sets of similarity J
+   share no routing n-gram with probability about (1 - J) ** route.
 3. The nodes that meet at an n-gram form a signature tree: sorted by size, 32 to a leaf, 8 children to an inner node,
    each with the OR of its members' token bitmaps and its range of sizes. A traversal of the tree against itself
    drops every pair of tree nodes whose largest possible overlap can't reach the threshold. Where more than
    ``block`` nodes meet, the root's children are spread over tasks, pair by pair.
-4. Pairs of sets of more than ``2 * route`` n-grams stay if they meet at two n-grams or more.
+4. Pairs of sets of more than ``2 * route`` n-grams stay if they meet at two n-grams or more. Where more than ``hot``
+   nodes meet (licence lines, shared passages), a pair must also share enough of the ``SKETCH`` smallest hashes of each:
+   all that the threshold takes if both sets are that small, else 4.5 standard deviations less than is expected.
 5. What stays is verified with the exact sets, read again from the texts. Each set goes once to the task of its
    connected component; components of more than ``cell`` n-grams are cut into blocks, and the pairs of blocks that hold
    candidates are tasks of their own.
 
 The search is approximate in steps 2 and 4 only; with the defaults a pair at the threshold is missed in 1 case in 2000
-(1 in 50 if it has the fewest usable n-grams), a closer pair far less often. There is no cap on partners.
+whatever the number of documents that share its n-grams, a closer pair far less often. There is no cap on partners.
 
 Defined results: a text without a word, an empty or a null text has no partner; repeated rows of one doc_id are one
 document and make no pair with themselves; rows with a null doc_id make no pair and are never removed; an empty table
@@ -36,8 +37,8 @@ from . import common
 N = 5
 THRESHOLD = 0.4
 ROUTE = 20
-NEED = 12
 HOT = 200
+SKETCH = 128
 WORDS = 8
 BLOCK = 2048
 CELL = 2_000_000
@@ -83,7 +84,7 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, n: int, route: int) -> DataFrame:
-    """(doc_id, sid, size, grams, bits) of each row that has a word; sid is a hash of the whole set."""
+    """(doc_id, sid, size, grams, bits, sketch) of each row that has a word; sid is a hash of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.RunHasher()
@@ -99,6 +100,10 @@ def sketches(docs: DataFrame, n: int, route: int) -> DataFrame:
                 np.bitwise_or.at(bits, (row, bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
                 few = np.minimum(size, route)
                 pick = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(at[:-1], few)
+                least = np.minimum(size, SKETCH)
+                low = np.arange(least.sum()) - np.repeat(np.cumsum(least) - least, least) + np.repeat(at[:-1], least)
+                cuts = np.concatenate([[0], np.cumsum(least)])
+                low = grams[low].astype(np.uint32)
                 out = pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, j - i),
@@ -106,12 +111,13 @@ def sketches(docs: DataFrame, n: int, route: int) -> DataFrame:
                         pa.array(size, pa.int32()),
                         lists(grams[pick], np.concatenate([[0], np.cumsum(few)])),
                         pa.array([b.tobytes() for b in bits], pa.binary()),
+                        pa.array([low[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])], pa.binary()),
                     ],
-                    names=["doc_id", "sid", "size", "grams", "bits"],
+                    names=["doc_id", "sid", "size", "grams", "bits", "sketch"],
                 )
                 yield out.filter(pa.array(size > 0))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").mapInArrow(run, "doc_id long, sid long, size int, grams array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").mapInArrow(run, "doc_id long, sid long, size int, grams array<long>, bits binary, sketch binary")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -205,8 +211,29 @@ class Flat:
         self.size, self.bits, self.set = size, bits, popcount(bits)
 
 
+def common_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of common values in each row of two arrays of distinct values; 0 stands for none."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(1)
+
+
+def sketch_pairs(sketch: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float, short: int, step: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    """Of the index pairs those whose sketches allow the threshold and that meet at two n-grams, if neither is short."""
+    sampled = int(SKETCH * threshold - 4.5 * np.sqrt(SKETCH * threshold * (1 - threshold)))
+    kept = []
+    for i in range(0, len(p), step):
+        a, b = p[i : i + step], q[i : i + step]
+        ok = (np.minimum(size[a], size[b]) <= short) | (common_values(sketch[a, : short // 2], sketch[b, : short // 2]) > 1)
+        a, b = a[ok], b[ok]
+        whole = np.maximum(size[a], size[b]) <= SKETCH
+        need = np.where(whole, (threshold / (1 + threshold) - 1e-12) * (size[a] + size[b]), sampled)
+        ok = common_values(sketch[a], sketch[b]) >= need
+        kept.append((a[ok], b[ok]))
+    return tuple(np.concatenate(x) for x in zip(*kept)) if kept else (p, q)
+
+
 def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float, short: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each group, and whether one of the two has at most ``short`` n-grams; rows (gram, i, j, side, sid, size, bits) come sorted by group, side and size."""
+    """Candidate pairs of each group, and whether one of the two has at most ``short`` n-grams; rows (gram, i, j, side, sid, size, bits, sketch) come sorted by group, side and size; a group whose sketches are null is judged without."""
 
     def out(sid: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         low, high = np.minimum(sid[p], sid[q]), np.maximum(sid[p], sid[q])
@@ -221,6 +248,8 @@ def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float, short: int)
         at = np.append(np.flatnonzero(new), len(new))
         length, size, sid = np.diff(at), get["size"].astype(np.int64), get["sid"]
         flat = Flat(size, bits)
+        sketches = rows.column("sketch").combine_chunks()
+        has = sketches.is_valid().to_numpy(zero_copy_only=False)
         own = get["i"][at[:-1]] == get["j"][at[:-1]]
         for k in np.unique(length[own & (length <= LEAF)]):  # all one-leaf groups of k members at once
             low, high = np.triu_indices(k, 1)
@@ -234,17 +263,23 @@ def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float, short: int)
                     yield out(sid, size, p, q)
         for g in np.flatnonzero(~own | (length > LEAF)):
             s, e = at[g], at[g + 1]
+            m = s if own[g] else s + int(np.searchsorted(get["side"][s:e], 1))
             if own[g]:
-                tree, base = Tree(size[s:e], bits[s:e]), s
-                for p, q in tree_pairs(tree, tree, threshold, True):
-                    if len(p):
-                        yield out(sid, size, base + p, base + q)
+                tree = Tree(size[s:e], bits[s:e])
+                found = tree_pairs(tree, tree, threshold, True)
+            elif s < m < e:
+                found = tree_pairs(Tree(size[s:m], bits[s:m]), Tree(size[m:e], bits[m:e]), threshold, False)
             else:
-                m = s + int(np.searchsorted(get["side"][s:e], 1))
-                if s < m < e:
-                    for p, q in tree_pairs(Tree(size[s:m], bits[s:m]), Tree(size[m:e], bits[m:e]), threshold, False):
-                        if len(p):
-                            yield out(sid, size, s + p, m + q)
+                continue
+            sketch = None
+            if has[s]:
+                sketch = np.stack([np.frombuffer(x.ljust(4 * SKETCH, b"\0"), np.uint32) for x in sketches.slice(s, e - s).to_pylist()])
+            for p, q in found:
+                q = q + (m - s)
+                if sketch is not None and len(p):
+                    p, q = sketch_pairs(sketch, size[s:e], p, q, threshold, short)
+                if len(p):
+                    yield out(sid, size, s + p, s + q)
 
     kept: list[pa.RecordBatch] = []
     for batch in batches:
@@ -263,29 +298,30 @@ def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float, short: int)
         yield from solve(pa.Table.from_batches(kept))
 
 
-def routed(nodes: DataFrame, threshold: float, hot: int) -> DataFrame:
-    """(gram, sid) rows under which nodes meet."""
-    each = nodes.select("sid", F.explode("grams").alias("gram"), F.size("grams").alias("held"), F.least(F.lit(NEED), F.col("size") - F.ceil(threshold * F.col("size")) + 1).cast("int").alias("need"))
+def routed(nodes: DataFrame, route: int) -> DataFrame:
+    """(gram, sid, n) rows under which nodes meet; n is the number of nodes that meet there."""
+    each = nodes.select("sid", F.explode(F.slice("grams", 1, route)).alias("gram"))
     # counted with partial sums and joined back, not in a window: a hot n-gram's rows may be split over tasks
     counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = common.stored(each.join(counts, "gram"), "met")
-    heated = met.filter(F.col("n") > hot)
-    counts = heated.groupBy("sid").agg(F.count(F.lit(1)).alias("heated"))
-    forced = heated.join(counts, "sid").filter(F.col("held") - F.col("heated") < F.col("need"))
-    return met.filter(F.col("n") <= hot).select("gram", "sid").unionByName(forced.select("gram", "sid"))
+    return common.stored(each.join(counts, "gram"), "met")
 
 
 def candidates(nodes: DataFrame, threshold: float, route: int = ROUTE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b), a < b, of nodes that meet and whose signatures allow the threshold."""
-    rows = routed(nodes, threshold, hot).join(nodes.select("sid", "size", "bits"), "sid")
-    by = Window.partitionBy("gram")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(by)).filter("n > 1").withColumn("place", F.row_number().over(by.orderBy("size", "sid")))
-    cols = ["gram", "i", "j", "side", "sid", "size", "bits"]
-    zero = F.lit(0)
-    small = rows.filter(F.col("n") <= block).select("gram", zero.alias("i"), zero.alias("j"), zero.alias("side"), "sid", "size", "bits")
+    rows = routed(nodes, route)
+    cols = ["gram", "i", "j", "side", "sid", "size", "bits", "sketch"]
+    zero, none = F.lit(0), F.lit(None).cast("binary")
+    few = min(hot, block)
+    small = rows.filter(F.col("n") <= few).join(nodes.select("sid", "size", "bits"), "sid")
+    small = small.select("gram", zero.alias("i"), zero.alias("j"), zero.alias("side"), "sid", "size", "bits", none.alias("sketch"))
+    small = small.repartition("gram").sortWithinPartitions("gram", "size", "sid")
+    sketch = F.col("sketch") if "sketch" in nodes.columns else none
+    large = rows.filter(F.col("n") > few).join(nodes.select("sid", "size"), "sid")
+    large = large.withColumn("place", F.row_number().over(Window.partitionBy("gram").orderBy("size", "sid")))
+    large = large.join(nodes.select("sid", "bits", sketch.alias("sketch")), "sid")
     own = ((F.col("place") - 1) / block).cast("int")
     of = F.ceil(F.col("n") / block).cast("int")
-    large = rows.filter(F.col("n") > block).withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, of - 1)))
+    large = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, of - 1)))
     large = large.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).select(cols)
     large = large.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side", "size", "sid")
     found = [x.mapInArrow(lambda batches: group_pairs(batches, threshold, 2 * route), "a long, b long, short boolean") for x in (small, large)]
@@ -389,7 +425,7 @@ def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, thresh
 def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route: int = ROUTE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid) of all documents that have a word, and verified (a, b, jaccard) of distinct sets."""
     sketch = common.stored(sketches(docs, n, route), "sketches")
-    nodes = sketch.groupBy("sid").agg(F.min("size").alias("size"), F.first("grams").alias("grams"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    nodes = sketch.groupBy("sid").agg(F.min("size").alias("size"), F.first("grams").alias("grams"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
     nodes = common.stored(nodes, "nodes")
     found = common.stored(candidates(nodes, threshold, route, hot), "candidates")
     return sketch.select("doc_id", "sid"), common.stored(verified(docs, nodes, found, n, threshold), "verified")

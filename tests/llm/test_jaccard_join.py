@@ -48,6 +48,34 @@ def test_every_path_gives_the_same_pairs(spark):
     assert j.verified(docs, nodes, found, 5, 0.4, cell=1000).count() == every
 
 
+def test_passages_that_many_documents_share(spark):
+    """400 documents a passage, of J 0.43 by the passage alone; nearly all of its n-grams are hot."""
+    rng = np.random.default_rng(5)
+    own = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 1 << 40, n))
+    rows = []
+    for passage in range(4):
+        shared = own(124)  # 120 n-grams; 4 more cross its end
+        rows += [(1000 * passage + k, f"{shared} {own(80)}") for k in range(400)]
+    pairs = j.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.passage: r.n for r in pairs.groupBy(F.floor(F.col("doc_id_a") / 1000).alias("passage")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert min(found.get(p, 0) for p in range(4)) > 0.99 * 400 * 399 / 2
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(6)
+    base, sets = rng.integers(1, 1 << 53, 300), []
+    for k in range(150):
+        some = base[: (40, 120, 300)[k % 3]]
+        sets.append(np.unique(np.concatenate([some[rng.random(len(some)) < 0.75], rng.integers(1, 1 << 53, 9)])))
+    size = np.array([len(x) for x in sets])
+    sketch = np.stack([np.pad(x[: j.SKETCH].astype(np.uint32), (0, max(0, j.SKETCH - len(x)))) for x in sets])
+    p, q = np.triu_indices(150, 1)
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(p, q)])
+    want = {(a, b) for a, b, x in zip(p.tolist(), q.tolist(), shared / (size[p] + size[q] - shared)) if x >= 0.4}
+    found = set(zip(*(x.tolist() for x in j.sketch_pairs(sketch, size, p, q, 0.4, 40))))
+    assert want and len(want - found) <= 0.002 * len(want)
+
+
 def test_beyond_the_broadcast_bound(spark, nasty, same, monkeypatch):
     monkeypatch.setattr(j, "BROADCAST_ROWS", -1)
     same(j.drop_near(nasty), [1, 1, 3, 4, 5, 6, 7, 9, 10, 11, 12, None, None])
