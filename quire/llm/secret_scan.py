@@ -4,7 +4,9 @@ A candidate is a run of at least ``MIN_LENGTH`` letters, digits, ``_ - + /`` (AS
 alphabet of random strings and one of ordinary identifiers, are trained from labelled samples with add-half smoothing;
 the score is the best random model's log-likelihood less the ordinary model's, and a candidate scores as a secret if
 it reaches ``threshold`` nats in all and ``per_character`` nats a character, and has at least ``DISTINCT`` different
-characters (rulers and padding are no secrets).
+characters (rulers and padding are no secrets). A run that doesn't score as a whole may hold secrets among ordinary words, as
+paths and URLs do: its segment of the largest sum under one random model, widened to the ``/ - _ +`` around it, is
+judged alike, with ``INSIDE`` nats more for the choice of its place, and so is what remains on either side.
 
 The labelled samples are bounded: ``SAMPLE`` strings of each kind. Random ones come from a seeded generator; ordinary ones
 are words of the corpus (letters only, hence no keys; those with the smallest hashes) and the identifiers and paths
@@ -29,6 +31,7 @@ MIN_LENGTH = 20
 SAMPLE = 4000
 THRESHOLD = 10.0
 PER_CHARACTER = 0.25
+INSIDE = 5.0
 DISTINCT = 6
 CHARACTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-+/"
 SIZE = len(CHARACTERS) + 1
@@ -96,6 +99,35 @@ class Model:
         return starts, ends, scores[best, np.arange(len(starts))], best
 
 
+def inside(model: Model, raw: np.ndarray, start: int, end: int, threshold: float, per_character: float) -> list[tuple[int, int, float, int]]:
+    """(start, end, score, kind) of the secrets among the ordinary words of one run."""
+    code = CODE[raw[start:end]]
+    ratio = model.ratio[:, np.append(0, code[:-1]), code]
+    total = np.concatenate([np.zeros((len(ratio), 1)), np.cumsum(ratio, axis=1)], axis=1)
+    cuts = np.flatnonzero(code >= CODE[ord("_")])
+    found, todo = [], [(0, end - start)]
+    while todo:
+        low, high = todo.pop()
+        if high - low < MIN_LENGTH:
+            continue
+        own = total[:, low : high + 1]
+        gain = own - np.minimum.accumulate(own, axis=1)
+        kind, e = np.unravel_index(gain.argmax(), gain.shape)
+        s = low + int(own[kind, : e + 1].argmin())
+        e = low + int(e)
+        if gain[kind, e - low] < threshold:
+            continue
+        a, b = np.searchsorted(cuts, s), np.searchsorted(cuts, e)
+        a = max(low, int(cuts[a - 1]) + 1 if a else 0)
+        b = min(high, int(cuts[b]) if b < len(cuts) else end - start)
+        score = float(total[kind, b] - total[kind, a])
+        if b - a >= MIN_LENGTH and score >= threshold and score >= per_character * (b - a) and len(np.unique(code[a:b])) >= DISTINCT:
+            found.append((start + a, start + b, score, int(kind)))
+        a, b = min(a, s), max(b, e)
+        todo += [(low, a), (b, high)]
+    return found
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(random_samples(sample) + ordinary_samples(corpus_words(docs, sample), sample))
 
@@ -116,7 +148,12 @@ def scan(docs: DataFrame, model: Model | None = None, threshold: float = THRESHO
                 starts, ends, score, kind = model.scan(raw, offsets)
                 ok = (score >= threshold) & (score >= per_character * (ends - starts))
                 ok[ok] = [len(np.unique(raw[s:e])) >= DISTINCT for s, e in zip(starts[ok], ends[ok])]
+                parts = [x for s, e in zip(starts[~ok].tolist(), ends[~ok].tolist()) if e - s > MIN_LENGTH for x in inside(model, raw, s, e, threshold + INSIDE, per_character)]
                 starts, ends, score, kind = starts[ok], ends[ok], score[ok], kind[ok]
+                if parts:
+                    starts, ends, score, kind = (np.concatenate([x, np.array(y, x.dtype)]) for x, y in zip((starts, ends, score, kind), zip(*parts)))
+                    order = np.argsort(starts)
+                    starts, ends, score, kind = starts[order], ends[order], score[order], kind[order]
                 if len(starts):
                     row = np.searchsorted(offsets, starts, "right") - 1
                     masked = [raw[s : s + 4].tobytes().decode() + "*" * int(e - s - 4) for s, e in zip(starts, ends)]

@@ -39,6 +39,23 @@ def test_scores_against_brute_force():
         assert abs(max(totals) - got) < 1e-9 and totals[k] == max(totals)
 
 
+def test_keys_inside_paths(spark):
+    words = s.corpus_words(spark.read.parquet(f"{DATA}/documents.parquet"))
+    model = s.Model(s.random_samples() + s.ordinary_samples(words[::2]))
+    rng = np.random.default_rng(21)
+    hexed, mixed = list("0123456789abcdef"), list(s.CHARACTERS[:62])
+    rows = []
+    for k in range(400):
+        path = "/".join(words[1::2][i] for i in rng.integers(0, len(words) // 2, 6))
+        key = "".join(rng.choice(hexed, 40) if k % 2 else rng.choice(mixed, 24))
+        rows.append((k, f"{path}/{key}/end", len(path) + 1, len(path) + 1 + len(key)))
+    found = {(r.doc_id, r.byte_start, r.byte_end) for r in s.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
+    covered = [any(d == k and a <= low and b >= high for d, a, b in found) for k, _, low, high in rows]
+    assert np.mean(covered[1::2]) > 0.95 and np.mean(covered[::2]) > 0.9, (np.mean(covered[1::2]), np.mean(covered[::2]))
+    plain = [x for _, x in s.ordinary_samples(words[1::2], seed=98) if len(x) >= s.MIN_LENGTH]
+    assert s.scan(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"), model).count() < 0.015 * len(plain)
+
+
 def test_planted_tokens(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = {(r.doc_id, r.byte_start, r.byte_end) for r in s.query(spark, DATA).collect()}
