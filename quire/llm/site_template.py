@@ -1,6 +1,7 @@
 """HTML extraction by removing site templates: element subtrees that recur across many pages of a host.
 
-1. Each page is parsed into a tree (unclosed paragraphs, list items and cells end where the next begins; comments,
+1. Each page is parsed into a tree (unclosed paragraphs, list items and cells end where the next begins, an open head at
+   what can't stand in it; comments,
    declarations, scripts, styles and the head but for its title are left out), and every element's subtree gets a
    64-bit hash of its tag, attributes, white-space-normalised text and children.
 2. Spark counts, for each host and hash, the pages that have it, over all pages.
@@ -50,6 +51,7 @@ ENDS = {
 }
 _P = (frozenset(["p"]), frozenset("div article section main aside header footer nav td th li body blockquote".split()))
 ENDS |= {t: _P for t in BLOCK - set(ENDS) - {"br", "html", "body", "title"}}
+HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -63,7 +65,7 @@ class Node:
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root, and all elements under it, children before their parents, with hashes."""
     root = Node("", "")
-    stack, done, at = [root], [], 0
+    stack, done, at, in_head = [root], [], 0, False
 
     def close() -> None:
         node = stack.pop()
@@ -72,8 +74,14 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         node.hash = xxhash.xxh3_64_intdigest("\x00".join(key).encode("utf-8", "replace"))
         done.append(node)
 
+    def leave_head() -> None:
+        while any(x.tag == "head" for x in stack):
+            close()
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
+            if stack[-1].tag == "head" and not page[at : m.start()].isspace():
+                leave_head()
             stack[-1].parts.append(page[at : m.start()])
         at = m.end()
         tag = m[3]
@@ -87,6 +95,10 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                         close()
                     break
             continue
+        if tag not in HEAD and in_head:
+            leave_head()
+            in_head = False
+        in_head |= tag == "head"
         if tag in ENDS:
             ended, stop = ENDS[tag]
             for k in range(len(stack) - 1, 0, -1):
@@ -102,6 +114,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if tag in VOID or node.attributes.endswith("/"):
             close()
     if at < len(page):
+        if stack[-1].tag == "head" and not page[at:].isspace():
+            leave_head()
         stack[-1].parts.append(page[at:])
     while len(stack) > 1:
         close()

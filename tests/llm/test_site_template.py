@@ -23,6 +23,13 @@ def test_markup():
         text(bad)
 
 
+def test_head_left_open():
+    assert text("<html><head><title>T</title><body><p>all content") == "T\nall content"
+    assert text("<html><head><title>T</title><meta x><p>all<p>content") == "T\nall\ncontent"
+    assert text("<head><title>T</title>all content") == "T\nall content" and text("<head><title>T<body>all") == "T\nall"
+    assert text("<head><title>T</title><link x><style>p{}</style>\n</head>\n<body>b") == "T\nb"
+
+
 def test_equal_subtrees_have_equal_hashes():
     h = lambda page: Counter(n.hash for n in s.parse(page)[1])
     assert h("<div class='a'>x  y</div>") == h("<div  class='a'>x y</div>")
