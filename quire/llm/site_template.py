@@ -5,8 +5,9 @@
    declarations, scripts, styles and the head but for its title are left out), and every element's subtree gets a
    64-bit hash of its tag, attributes, white-space-normalised text and children.
 2. Spark counts, for each host and hash, the pages that have it, over all pages.
-3. Subtrees on at least ``min_pages`` pages and at least ``min_share`` of the host's pages are its template: they are
-   deleted from each page, and what text is left is the page's, one line a block element.
+3. Block-level subtrees with text, cells apart, on at least ``min_pages`` pages and at least ``min_share`` of the host's pages are its template: they are
+   deleted from each page, and what text is left is the page's, one line a block element. Inline elements and cells
+   (a word in bold, a link, a number in a table) recur within running content, and go only with a block around them. Void elements that recur are counted as removed too, but keep their line break.
 
 The templates of all hosts are broadcast if they are at most ``BROADCAST_ROWS`` rows, else joined to the pages by host.
 
@@ -51,6 +52,8 @@ ENDS = {
 }
 _P = (frozenset(["p"]), frozenset("div article section main aside header footer nav td th li body blockquote".split()))
 ENDS |= {t: _P for t in BLOCK - set(ENDS) - {"br", "html", "body", "title"}}
+#: Elements that can be a template by themselves.
+WHOLE = BLOCK - frozenset("br hr td th title".split())
 HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
 _SPACE = re.compile(r"\s+")
 
@@ -122,6 +125,22 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     return root, done
 
 
+def has_text(node: Node) -> bool:
+    """Whether text_of finds any text in the element."""
+    todo = [node]
+    while todo:
+        for x in todo.pop().parts:
+            if not isinstance(x, str):
+                todo.append(x)
+            elif x and not x.isspace() and ("&" not in x or entities.unescape(x).strip()):
+                return True
+    return False
+
+
+def removable(node: Node, removed: frozenset[int] | set[int]) -> bool:
+    return node.tag in WHOLE and node.hash in removed and has_text(node)
+
+
 def text_of(root: Node, removed: frozenset[int] | set[int]) -> tuple[str, int]:
     """Text without the removed subtrees, and how many were removed."""
     out: list[str] = []
@@ -132,9 +151,11 @@ def text_of(root: Node, removed: frozenset[int] | set[int]) -> tuple[str, int]:
         if isinstance(x, str):
             out.append(x)
             continue
-        if x.tag and x.hash in removed:
+        if removable(x, removed):
             count += 1
+            out.append("\x00")
             continue
+        count += x.tag in VOID and x.hash in removed
         if x.tag in BLOCK:
             out.append("\x00")
             todo.append("\x00")
@@ -157,7 +178,7 @@ def element_hashes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             sites, hashes = [], []
             for site, page in zip(common.column(batch, "site").to_pylist(), common.column(batch, "html").to_pylist()):
-                own = np.unique(np.array([n.hash for n in parse(page)[1]], np.uint64))
+                own = np.unique(np.array([n.hash for n in parse(page)[1] if n.tag in WHOLE or n.tag in VOID], np.uint64))
                 sites.append(np.full(len(own), site, np.int64))
                 hashes.append(own.view(np.int64))
             if sites:

@@ -36,6 +36,13 @@ def test_equal_subtrees_have_equal_hashes():
     assert h("<div>a</div>") != h("<div>b</div>") and h("<i>a</i>") != h("<b>a</b>") and h("<b>a<i>b</i></b>") != h("<b>ab<i></i></b>")
 
 
+def test_recurring_inline_elements_stay(spark):
+    page = "<nav>menu</nav><hr><p>first {0}<br>second <b>Note</b> see <a>here</a></p>a{0}<nav>menu</nav>b<table><tr><td>0</td><td></td><td>x{0}</td></tr></table>"
+    df = spark.createDataFrame([(k, "http://h.example/", page.format(k)) for k in range(8)], "page_id long, url string, html string")
+    found = {r.page_id: (r.text, r.n_removed) for r in s.extract(df).select("row.page_id", "text", "n_removed").collect()}
+    assert found == {k: (f"first {k}\nsecond Note see here\na{k}\nb\n0\nx{k}", 4) for k in range(8)}
+
+
 def brute(pages, min_pages, min_share):
     """Page by page on the driver."""
     hosts, seen = Counter(), defaultdict(Counter)
