@@ -169,8 +169,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arc_of(pages: DataFrame) -> DataFrame:
-    """(source, content): an ARC archive for each page, with its version block, its host's DNS record and the page; versions take turns."""
+    """(source, content): an ARC archive for each page, with its version block, its host's DNS record and the page; versions take turns. A null page_id is named ``null`` and dated as 0."""
     c, lit = F.col, F.lit
+    pages = pages.withColumn("page_label", F.coalesce(c("page_id").cast("string"), lit("null"))).withColumn("page_id", F.coalesce("page_id", lit(0)))
     two = (c("page_id") % 2) == 1
     size = lambda x: F.octet_length(x).cast("string")
     part = lambda n, add=0: F.lpad((c("page_id") % n + add).cast("string"), 2, "0")
@@ -180,7 +181,7 @@ def arc_of(pages: DataFrame) -> DataFrame:
     dns = F.concat(lit("20010101000000\n"), host, lit(".\t3600\tIN\tA\t192.0.2.7\n"))
     body = F.coalesce("html", lit(""))
     page = F.concat(lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), body)
-    name = F.concat(lit("page-"), c("page_id").cast("string"), lit(".arc"))
+    name = F.concat(lit("page-"), c("page_label"), lit(".arc"))
 
     def line(uri: Column, ip: str, mime: str, code: str, block: Column) -> Column:
         start = F.concat(uri, lit(f" {ip} "), date, lit(f" {mime} "))

@@ -65,3 +65,9 @@ def test_files_and_edges(spark, tmp_path):
     assert arc.convert(df.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, None, None), (2, "http://h/x", None)], "page_id long, url string, html string")
     assert arc.convert(arc.arc_of(pages)).filter("error IS NOT NULL").count() == 0
+
+
+def test_pages_without_an_id_are_converted(spark):
+    pages = spark.createDataFrame([(None, "http://h/x", "a"), (0, "http://h/y", "b")], "page_id long, url string, html string")
+    found = arc.convert(arc.arc_of(pages)).collect()
+    assert sorted(r.source for r in found) == ["page-0.arc"] * 3 + ["page-null.arc"] * 3 and all(r.error is None for r in found)
