@@ -7,6 +7,8 @@ boundaries, so memory follows the longest document and not the batch.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = 1 << 20
+WINDOW = 1 << 16
 _MASK_SPLIT = np.uint64(31)
 _WRITTEN: list[str] = []
 
@@ -47,12 +50,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables stored so far, once every result that was made from them has been written."""
+def written() -> int:
+    """The number of tables stored so far, for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables stored so far but the first ``since`` and the last ``keep``, once every result that was made from them has been written."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
+    end = max(since, len(_WRITTEN) - keep)
+    for name in _WRITTEN[since:end]:
+        path = hadoop.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since:end]
+
+
+@contextlib.contextmanager
+def tidy() -> Iterator[None]:
+    """Gives a Python worker's free memory back at the end of its task; workers are reused, and what they keep counts against the executor."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,10 +112,22 @@ def chunks(offsets: np.ndarray, most: int = CHUNK, rows: int = 1024) -> Iterator
 
 
 def pieces(texts: pa.Array, lower: bool = False, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, offsets) of each chunk."""
-    raw, offsets = text_buffer(texts, lower)
+    """(first row, last row, bytes, offsets) of each chunk; texts are lowered a chunk at a time."""
+    raw, offsets = text_buffer(texts)
     for i, j in chunks(offsets, most):
-        yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if lower:
+            yield i, j, *text_buffer(texts.slice(i, j - i), lower)
+        else:
+            yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
+def windows(offsets: np.ndarray, most: int = WINDOW) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, end, rows, their starts in the window) of windows of ``most`` bytes over all rows' bytes; a long row is in many."""
+    for s in range(0, int(offsets[-1]), most):
+        e = min(s + most, int(offsets[-1]))
+        first, last = np.searchsorted(offsets, s, "right") - 1, np.searchsorted(offsets, e, "left")
+        rows = np.arange(first, last)[offsets[first + 1 : last + 1] > offsets[first:last]]
+        yield s, e, rows, np.maximum(offsets[rows], s) - s
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,29 +159,28 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class RunHasher:
-    """64-bit hashes of byte runs, by differences of one running polynomial."""
+    """64-bit hashes of byte runs, by sums of one polynomial over windows."""
 
     BASE = 0x9E3779B97F4A7C15 | 1
 
     def __init__(self) -> None:
-        self.size = 0
-
-    def _grow(self, n: int) -> None:
-        if n > self.size:
-            self.size = max(n, 2 * CHUNK)
-            with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.full(self.size, self.BASE, np.uint64))
-                self.inverses = np.cumprod(np.full(self.size, pow(self.BASE, -1, 1 << 64), np.uint64))
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.full(WINDOW, self.BASE, np.uint64))
+            self.inverses = np.cumprod(np.full(WINDOW, pow(self.BASE, -1, 1 << 64), np.uint64))
 
     def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
             return np.zeros(0, np.uint64)
-        self._grow(len(raw))
+        cuts = np.stack([starts, ends], axis=1).ravel()
+        cuts = np.concatenate([cuts[:1] * 0, cuts, [len(raw)]])  # gaps and runs take turns
+        sums = np.zeros(len(cuts) - 1, np.uint64)
         with np.errstate(over="ignore"):
-            sums = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)])
-            low = np.where(starts > 0, sums[np.maximum(starts, 1) - 1], np.uint64(0))
-            hashed = (sums[ends - 1] - low) * self.inverses[starts]
-            return mix(hashed + (ends - starts).astype(np.uint64))
+            for s, e, rows, at in windows(cuts):
+                part = np.add.reduceat((raw[s:e] + np.uint64(1)) * self.powers[: e - s], at, dtype=np.uint64) * self.inverses[at]
+                if cuts[rows[0]] < s:  # goes on from the window before
+                    part[0] *= np.uint64(pow(self.BASE, s - int(cuts[rows[0]]), 1 << 64))
+                sums[rows] += part
+            return mix(sums[1::2] + (ends - starts).astype(np.uint64))
 
 
 def packed(df: DataFrame) -> DataFrame:
