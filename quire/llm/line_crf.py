@@ -7,7 +7,7 @@ separated by line feeds; lines of white space only aren't lines.
 
 Training maximises the penalised conditional likelihood of a bounded sample: 2 * ``sample`` labelled documents in the
 labels' proportions (``LEAST`` of a label at least, so that the marginals keep the true prior), those with the smallest
-hashes, of at most ``train_lines`` lines each; every line has its document's label (distant supervision). Features are computed on the
+hashes, the first ``train_lines`` lines of each; every line has its document's label (distant supervision). Features are computed on the
 executors. Scoring covers all lines of all documents.
 
 Defined results: null and empty texts and those without a line have quality 0 and are not kept; without labelled
@@ -17,10 +17,13 @@ other columns pass through unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -28,7 +31,7 @@ SAMPLE = 600
 TRAIN_LINES = 64
 LEAST = 100
 KEEP = 0.5
-PIECE = 2 << 20
+STEP = 1 << 14
 
 
 def _among(chars: bytes) -> np.ndarray:
@@ -47,46 +50,56 @@ CLASSES = [
     np.arange(256) >= 0xC0,
 ]
 SPACE = _among(b" \t\r\x0b\x0c")
+BREAK = SPACE | _among(b"\n")
 END = _among(b".!?\"':;)")
 OWN = len(CLASSES) + 8
 WIDTH = 3 * OWN + 3
 
 
+class Lines:
+    """The lines of some rows: starts and ends, the rows' offsets ``at`` into them, and what their features are made of."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, hasher: common.RunHasher) -> None:
+        feeds = np.concatenate([np.flatnonzero(raw[s : s + common.WINDOW] == 10) + s for s in range(0, len(raw), common.WINDOW)] or [np.zeros(0, np.int64)])
+        cuts = np.unique(np.concatenate([offsets, feeds, feeds + 1]))
+        sums = np.zeros((len(CLASSES) + 2, len(cuts) - 1), np.int32)
+        for s, e, rows, begin in common.windows(cuts):
+            own = raw[s:e]
+            solid = ~SPACE[own]
+            before = np.concatenate([[s == 0 or bool(BREAK[raw[s - 1]])], BREAK[own[:-1]]])
+            before[begin[cuts[rows] >= s]] = True
+            for k, mask in enumerate([*(c[own] for c in CLASSES), solid & before, solid]):
+                sums[k, rows] += np.add.reduceat(mask, begin, dtype=np.int32)
+        held = np.flatnonzero((sums[-1] > 0) & (raw[cuts[:-1]] != 10)) if len(raw) else np.zeros(0, np.int64)
+        self.starts, self.ends, self.sums = cuts[held], cuts[held + 1], sums[:, held]
+        self.length = self.ends - self.starts
+        self.at = np.searchsorted(self.starts, offsets)
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.at))
+        hashed = hasher(raw, self.starts, self.ends)
+        _, code, count = np.unique(common.mix(hashed ^ common.mix(self.row.astype(np.uint64))), return_inverse=True, return_counts=True)
+        self.repeated = count[code] > 1
+        self.same = np.zeros(len(held), bool)
+        self.same[1:] = (hashed[1:] == hashed[:-1]) & (self.row[1:] == self.row[:-1])
+        self.first, self.last = np.zeros(len(held), bool), np.zeros(len(held), bool)
+        full = np.diff(self.at) > 0
+        self.first[self.at[:-1][full]], self.last[self.at[1:][full] - 1] = True, True
+        self.ending, self.low = END[raw[self.ends - 1]], (raw[self.starts] >= 97) & (raw[self.starts] <= 122)
+
+    def own(self, a: int, b: int) -> np.ndarray:
+        """Own features of the lines ``a`` to ``b``."""
+        length, words = self.length[a:b], np.maximum(self.sums[-2, a:b], 1)
+        found = [x[a:b] / length for x in self.sums[: len(CLASSES)]]
+        found += [np.log1p(length), np.log1p(words), np.minimum(length / words, 40), self.ending[a:b], self.low[a:b], self.repeated[a:b], self.same[a:b], length < 20]
+        return np.stack(found, axis=1).astype(np.float32)
+
+
 def line_features(raw: np.ndarray, offsets: np.ndarray, hasher: common.RunHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of every line, lines' lengths in bytes, and the rows' offsets into the lines."""
-    starts, ends = common.runs(raw != 10, offsets)
-    space = SPACE[raw]
-    if len(starts):
-        solid = np.concatenate([[0], np.cumsum(~space)])
-        full = solid[ends] > solid[starts]
-        starts, ends = starts[full], ends[full]
-    at = np.searchsorted(starts, offsets)
-    n = len(starts)
-    if not n:
-        return np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), at
-    length = ends - starts
-
-    def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
-        return (total[ends] - total[starts]) / length
-
-    before = np.concatenate([[True], space[:-1] | (raw[:-1] == 10)])
-    before[starts] = True
-    words = np.maximum(share(~space & before) * length, 1)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    hashed = hasher(raw, starts, ends)
-    _, code, count = np.unique(common.mix(hashed ^ common.mix(row.astype(np.uint64))), return_inverse=True, return_counts=True)
-    same = np.concatenate([[False], (hashed[1:] == hashed[:-1]) & (row[1:] == row[:-1])])
-    own = [share(c[raw]) for c in CLASSES]
-    own += [np.log1p(length), np.log1p(words), np.minimum(length / words, 40), END[raw[ends - 1]], (raw[starts] >= 97) & (raw[starts] <= 122), count[code] > 1, same, length < 20]
-    own = np.stack(own, axis=1).astype(np.float32)
-    first, last = np.zeros(n, bool), np.zeros(n, bool)
-    held = np.diff(at) > 0
-    first[at[:-1][held]], last[at[1:][held] - 1] = True, True
-    zero = np.zeros((1, OWN), np.float32)
-    left, right = np.concatenate([zero, own[:-1]]), np.concatenate([own[1:], zero])
-    left[first], right[last] = 0, 0
-    return np.concatenate([own, left, right, np.stack([first, last, np.ones(n)], axis=1).astype(np.float32)], axis=1), length, at
+    lines = Lines(raw, offsets, hasher)
+    own, zero = lines.own(0, len(lines.starts)), np.zeros((1, OWN), np.float32)
+    left, right = np.concatenate([zero, own])[:-1], np.concatenate([own, zero])[1:]
+    left[lines.first], right[lines.last] = 0, 0
+    return np.concatenate([own, left, right, np.stack([lines.first, lines.last, np.ones(len(own))], axis=1).astype(np.float32)], axis=1), lines.length, lines.at
 
 
 class Crf:
@@ -97,8 +110,16 @@ class Crf:
         self.w = np.zeros(WIDTH)
         self.start, self.step = np.zeros(2), np.zeros((2, 2))
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return ((features - self.mean) / self.deviation) @ self.w.astype(np.float32)
+    def scores(self, lines: Lines) -> np.ndarray:
+        """Each line's score: its own part and what its neighbours give, features being made for ``STEP`` lines at a time."""
+        w = self.w / self.deviation
+        parts = w[: 3 * OWN].reshape(3, OWN).T
+        n = len(lines.starts)
+        given = np.concatenate([lines.own(a, min(a + STEP, n)).astype(np.float64) @ parts for a in range(0, n, STEP)] or [np.zeros((0, 3))])
+        score = given[:, 0] + w[-3] * lines.first + w[-2] * lines.last + (w[-1] - self.mean @ w)
+        score[1:] += np.where(lines.first[1:], 0, given[:-1, 1])
+        score[:-1] += np.where(lines.last[:-1], 0, given[1:, 2])
+        return score
 
     def marginals(self, score: np.ndarray, at: np.ndarray, pairs: bool = False):
         """P(good) of each line; with ``pairs`` also the expected transitions, the first lines' marginals and the log-likelihood's normaliser."""
@@ -155,6 +176,16 @@ class Crf:
         return self
 
 
+def first_lines(raw: np.ndarray, most: int) -> np.ndarray:
+    """The bytes up to the line feed after ``most`` lines, white space aside."""
+    feeds = np.flatnonzero(raw == 10)
+    if len(feeds) < most:
+        return raw
+    solid = np.concatenate([[0], np.cumsum(~BREAK[raw])])
+    full = np.flatnonzero(np.diff(solid[np.concatenate([[0], feeds])]) > 0)
+    return raw[: feeds[full[most - 1]]] if len(full) >= most else raw
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines: int = TRAIN_LINES) -> Crf:
     h = F.xxhash64(F.lit("crf"), F.col("doc_id"))
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("quality")).distinct()
@@ -170,11 +201,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines:
         hasher = common.RunHasher()
         for batch in batches:
             for i, j, raw, offsets in common.pieces(common.column(batch, "text")):
-                f, _, at = line_features(raw, offsets, hasher)
+                heads = [first_lines(raw[s:e], train_lines) for s, e in zip(offsets[:-1], offsets[1:])]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])])
+                f, _, at = line_features(np.concatenate(heads), offsets, hasher)
                 values = pa.ListArray.from_arrays(pa.array(at * WIDTH, pa.int32()), pa.array(f.ravel(), pa.float32()))
                 made = pa.RecordBatch.from_arrays([common.column(batch, c).slice(i, j - i) for c in ("quality", "h")] + [values], names=["quality", "h", "f"])
-                n = np.diff(at)
-                yield made.filter(pa.array((n > 0) & (n <= train_lines)))
+                yield made.filter(pa.array(np.diff(at) > 0))
 
     rows = text.mapInArrow(run, "quality int, h long, f array<float>").collect()  # 2 * sample * train_lines * WIDTH numbers at most
     rows.sort(key=lambda r: (r["h"], r["quality"], len(r["f"]), r["f"]))
@@ -185,27 +217,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines:
     return Crf().fit(np.concatenate(f), truth, np.concatenate([[0], np.cumsum([len(x) for x in f])]))
 
 
+SCHEMA = "quality double, n_lines long, n_good long"
+
+
 def score(docs: DataFrame, model: Crf) -> DataFrame:
-    """(row, quality, n_lines, n_good) of each row; ``row`` holds the caller's columns."""
+    """(row, quality, n_lines, n_good) of each row; ``row`` holds the caller's columns. Only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = common.packed(docs).withColumn("text", F.col("row.text"))
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, hasher = shared.value, common.RunHasher()
-        for batch in batches:
-            quality, lines, goods = [], [], []
-            for _, _, raw, offsets in common.pieces(common.column(batch, "text"), most=PIECE):
-                f, length, at = line_features(raw, offsets, hasher)
-                p = model.marginals(model.scores(f), at) if len(f) else np.zeros(0)
-                weight = common.row_sums(length.astype(np.float64), at)
-                quality.append(common.row_sums(p * length, at) / np.maximum(weight, 1))
-                lines.append(np.diff(at))
-                goods.append(common.row_sums(p >= 0.5, at))
-            if quality:
-                made = [pa.array(np.concatenate(quality)), pa.array(np.concatenate(lines), pa.int64()), pa.array(np.concatenate(goods), pa.int64())]
-                yield pa.RecordBatch.from_arrays([common.column(batch, "row"), *made], names=["row", "quality", "n_lines", "n_good"])
-
-    return rows.mapInArrow(run, common.row_and(rows, "quality double, n_lines long, n_good long"))
+        with common.tidy():
+            for texts in batches:
+                found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for _, _, raw, offsets in common.pieces(texts):
+                    lines = Lines(raw, offsets, hasher)
+                    p = model.marginals(model.scores(lines), lines.at)
+                    weight = common.row_sums(lines.length.astype(np.float64), lines.at)
+                    found.append((common.row_sums(p * lines.length, lines.at) / np.maximum(weight, 1), np.diff(lines.at), common.row_sums(p >= 0.5, lines.at)))
+                yield pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
+
+    judge = F.arrow_udf(run, T.StructType.fromDDL(SCHEMA)).asNondeterministic()  # so that the planner calls it once
+    return common.packed(docs).withColumn("found", judge(F.col("row.text"))).select("row", "found.*")
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
