@@ -3,24 +3,25 @@
 1. Each text becomes the set of its distinct word ``n``-grams (lower case, runs of letters and digits; a text of fewer
    words is one n-gram of all of them), as 53-bit hashes. Texts with equal sets are one *node* from here on.
 2. Every node is routed to its ``route`` smallest n-gram hashes, however many others hold them. Two sets of similarity J
-   share no routing n-gram with probability about (1 - J) ** route.
+   share no routing n-gram with probability (1 - J) ** route at most.
 3. The nodes that meet at an n-gram form a signature tree: sorted by size, 32 to a leaf, 8 children to an inner node,
-   each with the OR of its members' token bitmaps and its range of sizes. A traversal of the tree against itself
-   drops every pair of tree nodes whose largest possible overlap can't reach the threshold. Where more than
-   ``block`` nodes meet, the root's children are spread over tasks, pair by pair.
-4. Pairs of sets of more than ``2 * route`` n-grams stay if they meet at two n-grams or more. Where more than ``hot``
-   nodes meet (licence lines, shared passages), a pair must also share enough of the ``SKETCH`` smallest hashes of each:
-   all that the threshold takes if both sets are that small, else 4.5 standard deviations less than is expected.
+   each with the OR of its members' token bitmaps and its range of sizes (32 nodes or fewer are a tree of one leaf, whose
+   members are compared by their own bitmaps and sizes). A traversal of the tree against itself drops every pair of tree
+   nodes whose largest possible overlap can't reach the threshold. Where more than ``block`` nodes meet, they are split
+   into as many trees as that takes, and every two of them are a task of their own.
+4. Pairs of members must also agree in the sketches: the least hash of each of ``BINS`` bins, one byte each. Of the bins
+   that either set fills, as a share no less may agree than the threshold less 4.5 standard deviations.
 5. What stays is verified with the exact sets, read again from the texts. Each set goes once to the task of its
    connected component; components of more than ``cell`` n-grams are cut into blocks, and the pairs of blocks that hold
    candidates are tasks of their own.
 
-The search is approximate in steps 2 and 4 only; with the defaults a pair at the threshold is missed in 1 case in 2000
-whatever the number of documents that share its n-grams, a closer pair far less often. There is no cap on partners.
+The search is approximate in steps 2 and 4 only; with the defaults a pair at the threshold is missed in 1 case in 20,000
+(step 2: 0.6 ** 20, step 4: about 1 in 100,000) whatever the number of documents that share its n-grams, a closer pair
+far less often. There is no cap on partners or candidates, and no rule that depends on how many documents there are.
 
 Defined results: a text without a word, an empty or a null text has no partner; repeated rows of one doc_id are one
 document and make no pair with themselves; rows with a null doc_id make no pair and are never removed; an empty table
-has no pairs.
+has no pairs; a doc_id with several texts is a member of each of their groups; doc_ids are integers or strings of them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,13 +38,13 @@ from . import common
 N = 5
 THRESHOLD = 0.4
 ROUTE = 20
-HOT = 200
-SKETCH = 128
+BINS = 128
 WORDS = 8
 BLOCK = 2048
 CELL = 2_000_000
 LEAF, FAN = 32, 8
 BROADCAST_ROWS = 300_000
+LOCAL_EDGES = 2_000_000
 _HASH_BITS = 53
 IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 
@@ -83,39 +84,39 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int64)))
 
 
+def bin_sketch(mixed: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row and bin a byte of the least hash that falls into it, 0 for an empty bin."""
+    least = np.full(rows * BINS, np.uint64(2**64 - 1))
+    np.minimum.at(least, row * BINS + (mixed >> np.uint64(9) & np.uint64(BINS - 1)).astype(np.int64), mixed >> np.uint64(16))
+    return np.where(least == np.uint64(2**64 - 1), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).reshape(rows, BINS)
+
+
+def rows_of(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
 def sketches(docs: DataFrame, n: int, route: int) -> DataFrame:
     """(doc_id, sid, size, grams, bits, sketch) of each row that has a word; sid is a hash of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.RunHasher()
-        for batch in batches:
-            ids = common.column(batch, "doc_id")
-            for i, j, raw, offsets in common.pieces(common.column(batch, "text"), lower=True, most=common.CHUNK // 2):
-                # a chunk has 1024 rows at most, so row and hash fit in 64 bits
-                grams, at = shingle_sets(raw, offsets, n, hasher)
-                size, sid = np.diff(at), set_ids(grams, at)
-                row = np.repeat(np.arange(j - i), size)
-                bits = np.zeros((j - i, 8 * WORDS), np.uint8)
-                bit = (common.mix(grams) & np.uint64(64 * WORDS - 1)).astype(np.int64)
-                np.bitwise_or.at(bits, (row, bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
-                few = np.minimum(size, route)
-                pick = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(at[:-1], few)
-                least = np.minimum(size, SKETCH)
-                low = np.arange(least.sum()) - np.repeat(np.cumsum(least) - least, least) + np.repeat(at[:-1], least)
-                cuts = np.concatenate([[0], np.cumsum(least)])
-                low = grams[low].astype(np.uint32)
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(i, j - i),
-                        pa.array(sid),
-                        pa.array(size, pa.int32()),
-                        lists(grams[pick], np.concatenate([[0], np.cumsum(few)])),
-                        pa.array([b.tobytes() for b in bits], pa.binary()),
-                        pa.array([low[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                    ],
-                    names=["doc_id", "sid", "size", "grams", "bits", "sketch"],
-                )
-                yield out.filter(pa.array(size > 0))
+        with common.tidy():
+            for batch in batches:
+                ids = common.column(batch, "doc_id")
+                for i, j, raw, offsets in common.pieces(common.column(batch, "text"), lower=True, most=common.CHUNK // 2):
+                    # a chunk has 1024 rows at most, so row and hash fit in 64 bits
+                    grams, at = shingle_sets(raw, offsets, n, hasher)
+                    size, sid, mixed = np.diff(at), set_ids(grams, at), common.mix(grams)
+                    row = np.repeat(np.arange(j - i), size)
+                    bits = np.zeros((j - i, 8 * WORDS), np.uint8)
+                    bit = (mixed & np.uint64(64 * WORDS - 1)).astype(np.int64)
+                    np.bitwise_or.at(bits, (row, bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
+                    few = np.minimum(size, route)
+                    pick = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(at[:-1], few)
+                    routing = lists(grams[pick], np.concatenate([[0], np.cumsum(few)]))
+                    made = [ids.slice(i, j - i), pa.array(sid), pa.array(size, pa.int32()), routing, rows_of(bits), rows_of(bin_sketch(mixed, row, j - i))]
+                    yield pa.RecordBatch.from_arrays(made, names=["doc_id", "sid", "size", "grams", "bits", "sketch"]).filter(pa.array(size > 0))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").mapInArrow(run, "doc_id long, sid long, size int, grams array<long>, bits binary, sketch binary")
 
@@ -211,91 +212,77 @@ class Flat:
         self.size, self.bits, self.set = size, bits, popcount(bits)
 
 
-def common_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Number of common values in each row of two arrays of distinct values; 0 stands for none."""
-    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
-    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(1)
-
-
-def sketch_pairs(sketch: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float, short: int, step: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
-    """Of the index pairs those whose sketches allow the threshold and that meet at two n-grams, if neither is short."""
-    sampled = int(SKETCH * threshold - 4.5 * np.sqrt(SKETCH * threshold * (1 - threshold)))
+def sketch_pairs(sketch: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float, step: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    """Of the index pairs those of whose filled bins enough agree; a bin agrees with the probability of the similarity, or a little more."""
     kept = []
     for i in range(0, len(p), step):
         a, b = p[i : i + step], q[i : i + step]
-        ok = (np.minimum(size[a], size[b]) <= short) | (common_values(sketch[a, : short // 2], sketch[b, : short // 2]) > 1)
-        a, b = a[ok], b[ok]
-        whole = np.maximum(size[a], size[b]) <= SKETCH
-        need = np.where(whole, (threshold / (1 + threshold) - 1e-12) * (size[a] + size[b]), sampled)
-        ok = common_values(sketch[a], sketch[b]) >= need
+        x, y = sketch[a], sketch[b]
+        filled = np.count_nonzero(x | y, axis=1)
+        agree = np.count_nonzero((x == y) & (x > 0), axis=1)
+        ok = agree >= filled * threshold - 4.5 * np.sqrt(filled * threshold * (1 - threshold))
         kept.append((a[ok], b[ok]))
     return tuple(np.concatenate(x) for x in zip(*kept)) if kept else (p, q)
 
 
-def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float, short: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each group, and whether one of the two has at most ``short`` n-grams; rows (gram, i, j, side, sid, size, bits, sketch) come sorted by group, side and size; a group whose sketches are null is judged without."""
+def group_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b) of each group; rows (gram, i, j, side, sid, size, bits, sketch) come sorted by group, side and size."""
 
-    def out(sid: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        low, high = np.minimum(sid[p], sid[q]), np.maximum(sid[p], sid[q])
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.minimum(size[p], size[q]) <= short)], names=["a", "b", "short"])
+    def matrix(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if not rows.num_rows:
             return
         get = {c: rows.column(c).combine_chunks().to_numpy() for c in ("gram", "i", "j", "side", "sid", "size")}
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
+        bits, sketch = matrix(rows.column("bits"), np.uint64).reshape(-1, WORDS), matrix(rows.column("sketch"), np.uint8).reshape(-1, BINS)
         new = np.concatenate([[True], (get["gram"][1:] != get["gram"][:-1]) | (get["i"][1:] != get["i"][:-1]) | (get["j"][1:] != get["j"][:-1])])
         at = np.append(np.flatnonzero(new), len(new))
         length, size, sid = np.diff(at), get["size"].astype(np.int64), get["sid"]
-        flat = Flat(size, bits)
-        sketches = rows.column("sketch").combine_chunks()
-        has = sketches.is_valid().to_numpy(zero_copy_only=False)
         own = get["i"][at[:-1]] == get["j"][at[:-1]]
-        for k in np.unique(length[own & (length <= LEAF)]):  # all one-leaf groups of k members at once
-            low, high = np.triu_indices(k, 1)
-            begin = at[:-1][own & (length == k)]
-            per = max(1, (1 << 18) // max(1, len(low)))
-            for s in range(0, len(begin), per):
-                p = (begin[s : s + per, None] + low).ravel()
-                q = (begin[s : s + per, None] + high).ravel()
-                p, q = member_pairs(flat, flat, p, q, threshold)
-                if len(p):
-                    yield out(sid, size, p, q)
-        for g in np.flatnonzero(~own | (length > LEAF)):
-            s, e = at[g], at[g + 1]
-            m = s if own[g] else s + int(np.searchsorted(get["side"][s:e], 1))
-            if own[g]:
-                tree = Tree(size[s:e], bits[s:e])
-                found = tree_pairs(tree, tree, threshold, True)
-            elif s < m < e:
-                found = tree_pairs(Tree(size[s:m], bits[s:m]), Tree(size[m:e], bits[m:e]), threshold, False)
-            else:
-                continue
-            sketch = None
-            if has[s]:
-                sketch = np.stack([np.frombuffer(x.ljust(4 * SKETCH, b"\0"), np.uint32) for x in sketches.slice(s, e - s).to_pylist()])
-            for p, q in found:
-                q = q + (m - s)
-                if sketch is not None and len(p):
-                    p, q = sketch_pairs(sketch, size[s:e], p, q, threshold, short)
-                if len(p):
-                    yield out(sid, size, s + p, s + q)
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            flat = Flat(size, bits)
+            for k in np.unique(length[own & (length <= LEAF)]):  # all one-leaf trees of k members at once
+                low, high = np.triu_indices(k, 1)
+                begin = at[:-1][own & (length == k)]
+                per = max(1, (1 << 18) // max(1, len(low)))
+                for s in range(0, len(begin), per):
+                    yield member_pairs(flat, flat, (begin[s : s + per, None] + low).ravel(), (begin[s : s + per, None] + high).ravel(), threshold)
+            for g in np.flatnonzero(~own | (length > LEAF)):
+                s, e = at[g], at[g + 1]
+                m = s if own[g] else s + int(np.searchsorted(get["side"][s:e], 1))
+                if own[g]:
+                    tree = Tree(size[s:e], bits[s:e])
+                    pairs = tree_pairs(tree, tree, threshold, True)
+                elif s < m < e:
+                    pairs = tree_pairs(Tree(size[s:m], bits[s:m]), Tree(size[m:e], bits[m:e]), threshold, False)
+                else:
+                    continue
+                for p, q in pairs:
+                    yield s + p, m + q
+
+        for p, q in found():
+            p, q = sketch_pairs(sketch, p, q, threshold)
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[p], sid[q])), pa.array(np.maximum(sid[p], sid[q]))], names=["a", "b"])
 
     kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = [common.column(batch, c).to_numpy() for c in ("gram", "i", "j")]
-        last = np.ones(batch.num_rows, bool)
-        for k in key:
-            last &= k == k[-1]
-        cut = int(np.argmax(last))  # the last group may go on in the next batch
-        if cut or kept and any(common.column(kept[0], c)[0].as_py() != common.column(batch, c)[0].as_py() for c in ("gram", "i", "j")):
-            yield from solve(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
-            kept = []
-        kept.append(batch.slice(cut))
-    if kept:
-        yield from solve(pa.Table.from_batches(kept))
+    with common.tidy():
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [common.column(batch, c).to_numpy() for c in ("gram", "i", "j")]
+            last = np.ones(batch.num_rows, bool)
+            for k in key:
+                last &= k == k[-1]
+            cut = int(np.argmax(last))  # the last group may go on in the next batch
+            if cut or kept and any(common.column(kept[0], c)[0].as_py() != common.column(batch, c)[0].as_py() for c in ("gram", "i", "j")):
+                yield from solve(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
+                kept = []
+            kept.append(batch.slice(cut))
+        if kept:
+            yield from solve(pa.Table.from_batches(kept))
 
 
 def routed(nodes: DataFrame, route: int) -> DataFrame:
@@ -306,27 +293,16 @@ def routed(nodes: DataFrame, route: int) -> DataFrame:
     return common.stored(each.join(counts, "gram"), "met")
 
 
-def candidates(nodes: DataFrame, threshold: float, route: int = ROUTE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def candidates(nodes: DataFrame, threshold: float, route: int = ROUTE, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b), a < b, of nodes that meet and whose signatures allow the threshold."""
-    rows = routed(nodes, route)
-    cols = ["gram", "i", "j", "side", "sid", "size", "bits", "sketch"]
-    zero, none = F.lit(0), F.lit(None).cast("binary")
-    few = min(hot, block)
-    small = rows.filter(F.col("n") <= few).join(nodes.select("sid", "size", "bits"), "sid")
-    small = small.select("gram", zero.alias("i"), zero.alias("j"), zero.alias("side"), "sid", "size", "bits", none.alias("sketch"))
-    small = small.repartition("gram").sortWithinPartitions("gram", "size", "sid")
-    sketch = F.col("sketch") if "sketch" in nodes.columns else none
-    large = rows.filter(F.col("n") > few).join(nodes.select("sid", "size"), "sid")
-    large = large.withColumn("place", F.row_number().over(Window.partitionBy("gram").orderBy("size", "sid")))
-    large = large.join(nodes.select("sid", "bits", sketch.alias("sketch")), "sid")
-    own = ((F.col("place") - 1) / block).cast("int")
+    rows = routed(nodes, route).join(nodes.select("sid", "size", "bits", "sketch"), "sid")
+    # blocks by hash: a hot n-gram's rows never come together in one task but as two blocks
     of = F.ceil(F.col("n") / block).cast("int")
-    large = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, of - 1)))
-    large = large.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).select(cols)
-    large = large.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side", "size", "sid")
-    found = [x.mapInArrow(lambda batches: group_pairs(batches, threshold, 2 * route), "a long, b long, short boolean") for x in (small, large)]
-    met = found[0].unionByName(found[1]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("short").alias("short"))
-    return met.filter("short OR times > 1").select("a", "b")
+    own = F.pmod(F.xxhash64(F.lit("block"), "sid"), of).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
+    rows = rows.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "size", "bits", "sketch")
+    rows = rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side", "size", "sid")
+    return rows.mapInArrow(lambda batches: group_pairs(batches, threshold), "a long, b long").distinct()
 
 
 def placed_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -334,12 +310,13 @@ def placed_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         hasher = common.RunHasher()
-        for batch in batches:
-            for i, j, raw, offsets in common.pieces(common.column(batch, "text"), lower=True):
-                grams, at = shingle_sets(raw, offsets, n, hasher)
-                asked = common.column(batch, "asked").slice(i, j - i)
-                made = pa.RecordBatch.from_arrays([common.column(batch, "cells").slice(i, j - i), asked, lists(grams, at)], names=["cells", "sid", "grams"])
-                yield made.filter(pa.array(set_ids(grams, at) == asked.to_numpy()))
+        with common.tidy():
+            for batch in batches:
+                for i, j, raw, offsets in common.pieces(common.column(batch, "text"), lower=True):
+                    grams, at = shingle_sets(raw, offsets, n, hasher)
+                    asked = common.column(batch, "asked").slice(i, j - i)
+                    made = pa.RecordBatch.from_arrays([common.column(batch, "cells").slice(i, j - i), asked, lists(grams, at)], names=["cells", "sid", "grams"])
+                    yield made.filter(pa.array(set_ids(grams, at) == asked.to_numpy()))
 
     return docs.select("asked", "cells", "text").mapInArrow(run, "cells array<struct<root:long,i:int,j:int>>, sid long, grams array<long>")
 
@@ -404,9 +381,10 @@ def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, thresh
     """The pairs of ``found`` at or above the threshold, with their exact similarity (a, b, jaccard)."""
     members = components(found).select("node", "root")
     members = members.unionByName(members.select(F.col("root").alias("node"), "root")).distinct()
-    members = members.join(nodes.select(F.col("sid").alias("node"), "size", "doc_id"), "node")
-    up = F.sum("size").over(Window.partitionBy("root").orderBy("node")) - F.col("size")
-    members = common.stored(members.select("node", "root", "doc_id", F.floor(up / cell).cast("int").alias("block")), "members")
+    members = common.stored(members.join(nodes.select(F.col("sid").alias("node"), "size", "doc_id"), "node"), "members")
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("size") / cell).alias("blocks"))
+    # blocks by hash, so that no task holds a whole component
+    members = members.join(blocks, "root").select("node", "root", "doc_id", F.pmod(F.xxhash64(F.lit("cell"), "node"), F.col("blocks")).cast("int").alias("block"))
     a = members.select(F.col("node").alias("a"), "root", F.col("block").alias("block_a"))
     b = members.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
     pairs = found.join(a, "a").join(b, "b").select("root", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b")
@@ -414,7 +392,8 @@ def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, thresh
     cells = pairs.select("root", "i", "j").distinct().withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
     asked = members.join(cells, ["root", "block"]).groupBy("node", "doc_id").agg(F.collect_list(F.struct("root", "i", "j")).alias("cells"))
     asked = common.stored(asked.select(F.col("node").alias("asked"), F.col("doc_id").alias("asked_id"), "cells"), "asked")
-    side = asked if asked.count() > BROADCAST_ROWS else F.broadcast(asked)
+    cells = asked.agg(F.sum(F.size("cells"))).first()[0] or 0  # bounds the bytes too
+    side = asked if cells > BROADCAST_ROWS else F.broadcast(asked)
     texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id").eqNullSafe(F.col("asked_id")))
     sets = placed_sets(texts, n).select(F.explode("cells").alias("cell"), "sid", "grams").select("cell.*", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     rows = sets.unionByName(pairs.withColumn("grams", F.array().cast("array<long>")))
@@ -422,18 +401,18 @@ def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, thresh
     return rows.mapInArrow(lambda batches: verify_cells(batches, threshold), "a long, b long, jaccard double")
 
 
-def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route: int = ROUTE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route: int = ROUTE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid) of all documents that have a word, and verified (a, b, jaccard) of distinct sets."""
     sketch = common.stored(sketches(docs, n, route), "sketches")
     nodes = sketch.groupBy("sid").agg(F.min("size").alias("size"), F.first("grams").alias("grams"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
     nodes = common.stored(nodes, "nodes")
-    found = common.stored(candidates(nodes, threshold, route, hot), "candidates")
+    found = common.stored(candidates(nodes, threshold, route), "candidates")
     return sketch.select("doc_id", "sid"), common.stored(verified(docs, nodes, found, n, threshold), "verified")
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route: int = ROUTE, hot: int = HOT) -> DataFrame:
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route: int = ROUTE) -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard), doc_id_a < doc_id_b: all pairs of documents at or above the threshold that the search finds."""
-    members, pairs = node_pairs(docs, n, threshold, route, hot)
+    members, pairs = node_pairs(docs, n, threshold, route)
     members = members.filter("doc_id IS NOT NULL").distinct()
     left = members.select(F.col("sid").alias("a"), F.col("doc_id").alias("p"))
     right = members.select(F.col("sid").alias("b"), F.col("doc_id").alias("q"))
@@ -442,9 +421,39 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, route: int =
     return apart.unionByName(equal)
 
 
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from each node of the batches' edges to the smallest of its component there, itself left out."""
+    nodes, label = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    with common.tidy():
+        for batch in batches:
+            a, b = (common.column(batch, c).to_numpy() for c in ("a", "b"))
+            names, code = np.unique(np.concatenate([nodes, label, a, b]), return_inverse=True)
+            root = np.arange(len(names))
+            x = np.concatenate([code[: len(nodes)], code[2 * len(nodes) : 2 * len(nodes) + len(a)]])
+            y = np.concatenate([code[len(nodes) : 2 * len(nodes)], code[2 * len(nodes) + len(a) :]])
+            while True:  # names are sorted, so the smallest index is the smallest node
+                u, v = root[x], root[y]
+                apart = u != v
+                if not apart.any():
+                    break
+                x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+                np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+                while not np.array_equal(root, further := root[root]):
+                    root = further
+            nodes, label = names, names[root]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != label]), pa.array(label[nodes != label])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of each node of (a, b); root is the smallest of its component. Stars are contracted until nothing moves."""
-    edges = common.stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    """(node, root) of each node of (a, b); root is the smallest of its component.
+
+    Every task first contracts the edges it reads to stars. If ``LOCAL_EDGES`` stay at most, one task does so once more, else
+    large and small stars are contracted until nothing moves.
+    """
+    ddl = "a long, b long"
+    edges = common.stored(edges.select("a", "b").filter("a <> b").mapInArrow(stars, ddl).distinct(), "edges")
+    if edges.count() <= LOCAL_EDGES:
+        return common.stored(edges.coalesce(1).mapInArrow(stars, ddl), "roots").toDF("node", "root")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours are tied to the smallest one
@@ -465,10 +474,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document, the smallest doc_id, of each group that the join connects, directly or through others."""
-    pairs = join(docs, n, threshold)
-    lost = common.stored(components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))).select("node"), "lost")
+    members, pairs = node_pairs(docs, n, threshold)
+    # groups are found among distinct sets; documents follow theirs
+    roots = components(pairs)
+    members = members.filter("doc_id IS NOT NULL").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", F.coalesce("root", "sid").alias("group"))
+    first = members.groupBy("group").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    # a doc_id may have several texts
+    lost = common.stored(members.join(first, "group").filter("doc_id > first").select(F.col("doc_id").alias("lost")).distinct(), "lost")
     side = lost if lost.count() > BROADCAST_ROWS else F.broadcast(lost)
-    return common.packed(docs).join(side, F.col("row.doc_id").cast("long") == F.col("node"), "left_anti").select("row.*")
+    return common.packed(docs).join(side, F.col("row.doc_id").cast("long") == F.col("lost"), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

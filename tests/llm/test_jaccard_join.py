@@ -40,10 +40,10 @@ def variants(spark, n=300):
 def test_every_path_gives_the_same_pairs(spark):
     docs = variants(spark)
     every = 300 * 299 // 2
-    assert j.join(docs).count() == every and j.join(docs, hot=10).count() == every
-    nodes = j.sketches(docs, 5, 20).withColumn("doc_id", F.col("doc_id")).select("sid", "size", "grams", "bits", "doc_id")
+    assert j.join(docs).count() == every
+    nodes = j.sketches(docs, 5, 20).select("sid", "size", "grams", "bits", "sketch", "doc_id")
     nodes = common.stored(nodes, "t")
-    found = common.stored(j.candidates(nodes, 0.4, hot=1000, block=50), "t")
+    found = common.stored(j.candidates(nodes, 0.4, block=50), "t")
     assert found.count() == every
     assert j.verified(docs, nodes, found, 5, 0.4, cell=1000).count() == every
 
@@ -58,7 +58,59 @@ def test_passages_that_many_documents_share(spark):
         rows += [(1000 * passage + k, f"{shared} {own(80)}") for k in range(400)]
     pairs = j.join(spark.createDataFrame(rows, "doc_id long, text string"))
     found = {r.passage: r.n for r in pairs.groupBy(F.floor(F.col("doc_id_a") / 1000).alias("passage")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert min(found.get(p, 0) for p in range(4)) > 0.99 * 400 * 399 / 2
+    assert [found.get(p, 0) for p in range(4)] == [400 * 399 // 2] * 4
+
+
+def brute_pairs(texts, threshold=0.4):
+    import re
+
+    word, sets = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), {}
+    for k, t in texts:
+        w = word.findall(t.lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    inverted, shared = {}, {}
+    for k, x in sets.items():
+        for g in x:
+            inverted.setdefault(g, []).append(k)
+    for ids in inverted.values():
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                shared[min(a, b), max(a, b)] = shared.get((min(a, b), max(a, b)), 0) + 1
+    return {(a, b) for (a, b), n in shared.items() if n / (len(sets[a]) + len(sets[b]) - n) >= threshold}
+
+
+def test_recall_where_all_hold_one_hot_ngram(spark):
+    """Every text holds one line that more than 200 share; similarities spread around the threshold, sizes from 10 to 3,000 words."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+    line, rows = words(8), []
+    for _ in range(60):
+        base = words(int(rng.choice([10, 60, 300, 3000])))
+        for _ in range(8):
+            cut = int(len(base) * rng.uniform(0.3, 1))
+            rows.append((len(rows), " ".join(base[:cut] + words(int(len(base) * rng.uniform(0, 0.5))) + line)))
+    found = {(r.doc_id_a, r.doc_id_b) for r in j.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_pairs(rows)
+    assert len(want) > 400 and found <= want and len(found) >= 0.999 * len(want)
+
+
+def test_a_hot_ngram_is_split_over_tasks(spark):
+    """No task gets all the nodes that meet at one n-gram, and no pair is lost."""
+    docs = variants(spark, 600)
+    nodes = common.stored(j.sketches(docs, 5, 20), "t")
+    plan = j.candidates(nodes, 0.4, block=100)
+    assert plan.count() == 600 * 599 // 2 and "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stars():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    edges = rng.integers(0, 300, (260, 2))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"]) for x in np.array_split(edges, 7)]
+    found = {int(a): int(b) for batch in j.stars(iter(batches)) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+    want = brute_components([(int(a), int(b)) for a, b in edges if a != b])
+    assert found == {x: r for x, r in want.items() if x != r}
 
 
 def test_sketches_lose_no_pair():
@@ -68,12 +120,15 @@ def test_sketches_lose_no_pair():
         some = base[: (40, 120, 300)[k % 3]]
         sets.append(np.unique(np.concatenate([some[rng.random(len(some)) < 0.75], rng.integers(1, 1 << 53, 9)])))
     size = np.array([len(x) for x in sets])
-    sketch = np.stack([np.pad(x[: j.SKETCH].astype(np.uint32), (0, max(0, j.SKETCH - len(x)))) for x in sets])
+    sketch = j.bin_sketch(common.mix(np.concatenate(sets).astype(np.uint64)), np.repeat(np.arange(150), size), 150)
     p, q = np.triu_indices(150, 1)
     shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(p, q)])
     want = {(a, b) for a, b, x in zip(p.tolist(), q.tolist(), shared / (size[p] + size[q] - shared)) if x >= 0.4}
-    found = set(zip(*(x.tolist() for x in j.sketch_pairs(sketch, size, p, q, 0.4, 40))))
+    found = set(zip(*(x.tolist() for x in j.sketch_pairs(sketch, p, q, 0.4))))
     assert want and len(want - found) <= 0.002 * len(want)
+    far = rng.integers(1, 1 << 53, (2, 400)).astype(np.uint64)
+    sketch = j.bin_sketch(common.mix(far.ravel()), np.repeat([0, 1], 400), 2)
+    assert not len(j.sketch_pairs(sketch, np.array([0]), np.array([1]), 0.4)[0])
 
 
 def test_beyond_the_broadcast_bound(spark, nasty, same, monkeypatch):
@@ -107,12 +162,14 @@ def brute_components(edges):
     return {x: find(x) for x in root}
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2)) if a != b] + [(k, k + 1) for k in range(200, 260)]
     found = {r.node: r.root for r in j.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {x: r for x, r in brute_components(edges).items() if x != r}
     assert found == want
+    monkeypatch.setattr(j, "LOCAL_EDGES", 10)
+    assert {r.node: r.root for r in j.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
 def test_edges(spark, nasty, same):
