@@ -33,3 +33,12 @@ def test_edges(spark, nasty, same):
     assert {(1, 4), (7, 2), (4, 2), (3, 1), (None, 1)} <= found and len(found) == 10
     same(e.dedup(nasty.limit(0)), [])
     assert e.survivors(nasty.limit(0)).count() == 0
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    rows = [(1, "a", "y"), (1, "a", "x"), (1, "a", "z"), (2, "a", "b"), (2, "c", "n"), (2, "c", None), (None, "d", "k"), (None, "d", "j")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, `a b.c` string")
+        for bound in (e.BROADCAST_ROWS, -1):
+            monkeypatch.setattr(e, "BROADCAST_ROWS", bound)
+            assert {tuple(r) for r in e.dedup(docs).collect()} == {(1, "a", "x"), (2, "c", "n"), (None, "d", "j")}
