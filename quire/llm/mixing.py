@@ -15,7 +15,7 @@ Weights: ``weights`` (source to number; a source that isn't in it or has 0 is no
 of blocks to the power ``alpha``. Shuffles are narrow; ranks and running sums are taken in two levels, within hash
 buckets or slot chunks and over them, so that no task holds a whole source.
 
-Defined results: a null source is a source of its own; empty and null texts have 0 tokens and go with their
+Defined results: a weight above 0 whose share is too small for one of the 2**31 points is an error; a null source is a source of its own; empty and null texts have 0 tokens and go with their
 neighbours' block; rows that repeat a doc_id of one source are one document and stay together; null doc_ids too; an
 empty table gives an empty schedule.
 """
@@ -31,6 +31,7 @@ BLOCK_TOKENS = 2048
 ALPHA = 0.7
 SEED = "mix-1"
 GOLDEN, PERIOD_BITS = 1327217885, 31
+BROADCAST_SIZE = 1_000_000
 _CELL_BITS, _CHUNK_BITS = 21, 16
 WORD = r"[^ \t\n\x0B\f\r]+"
 
@@ -93,9 +94,12 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
     """(slot, key, block, epoch, doc_id, n_tokens): one row each time a document comes."""
     placed, sources = blocks(docs, block_tokens, seed)
     spans = common.stored(intervals(sources, weights, alpha), "mix-spans")
+    lost = [r["key"] for r in spans.filter("high <= low").select("key").orderBy("key").take(5)]
+    if lost:
+        raise ValueError(f"the shares of {lost} are below 2**-{PERIOD_BITS}")
     needed = spans.agg(F.count(F.lit(1)).alias("sources"), F.max(F.ceil(F.col("n_blocks") / F.col("w"))).alias("n")).first()
     n = (needed["n"] or 0) + 64
-    while True:
+    while True:  # every source holds points, so each period of 2**31 slots brings it on
         planned = common.stored(slots(spans, n if needed["sources"] else 0), "mix-slots")
         full = planned.filter("rank = n_blocks - 1").agg(F.count(F.lit(1)).alias("sources"), F.max("slot").alias("last")).first()
         if full["sources"] == needed["sources"]:
@@ -107,10 +111,13 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``docs``' rows in the order of the schedule, a row as often as it comes; columns unchanged."""
+    """``docs``' rows in the order of the schedule, a row as often as it comes; columns unchanged. Texts are shuffled once, into their order, where the plan's rows can be broadcast, else to the plan too."""
     plan = schedule(docs, weights, alpha, block_tokens).groupBy("key", "doc_id").agg(F.collect_list("slot").alias("slots"))
+    plan = common.stored(plan, "mix-plan")
+    size = plan.agg((F.count(F.lit(1)) + F.sum(F.size("slots"))).alias("n")).first()["n"] or 0
+    side = plan if size > BROADCAST_SIZE else F.broadcast(plan)
     rows = common.packed(docs).select("row", source_key(F.col("row.source")).alias("own_key"), F.col("row.doc_id").alias("own_id"))
-    rows = rows.join(plan, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select("row", F.explode("slots").alias("slot"))
+    rows = rows.join(side, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select("row", F.explode("slots").alias("slot"))
     return rows.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
 
@@ -43,3 +44,16 @@ def test_edges(spark, nasty, same):
     once = kept.groupBy("doc_id", "text", "source").count().filter("doc_id = 1").first()
     assert once["count"] % 2 == 0
     assert mixing.mixed(nasty.limit(0)).count() == 0 and mixing.mixed(nasty.limit(0)).columns == nasty.columns
+
+
+def test_weights_below_the_resolution_are_an_error(spark):
+    docs = spark.createDataFrame([(k, "w " * 64, "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="=a"):
+        mixing.schedule(docs, {"a": 1e-12, "b": 1})
+
+
+def test_both_ways_to_the_plan_give_the_same_rows(spark, nasty, monkeypatch):
+    key = lambda df: [(r.doc_id, r.text, r.source) for r in df.collect()]
+    one = key(mixing.mixed(nasty, block_tokens=64))
+    monkeypatch.setattr(mixing, "BROADCAST_SIZE", -1)
+    assert sorted(key(mixing.mixed(nasty, block_tokens=64)), key=repr) == sorted(one, key=repr)
