@@ -5,12 +5,15 @@ version. Version 1 header lines have five fields (URL, IP, date, content type, l
 code, checksum, location, offset and file name); both are read from the right, as URLs may hold spaces. The declared
 length takes the block, so nothing inside a block can be taken for a header.
 
+Every record comes with its block, and ``write`` makes WARC files of them. Gzip members are taken one by one: where one is
+broken, what it gave is kept, an error record says so, and reading goes on at the next member that can be read.
+
 Equivalents made up for WARC: a name-based record id (a digest of source, position, URI and date, so conversion is
-repeatable), the ISO date of the ARC date (a shorter one is filled up with the first month, day and zeros), the type (filedesc:
+repeatable), the ISO date of the ARC date (a shorter one is filled up with the first month, day and zeros, and what no calendar or clock has in it counts as the first too), the type (filedesc:
 warcinfo; http and https: response; other schemes: resource), the content type (application/http for responses), the
 SHA-1 of the block and, for responses, of the body behind the HTTP header.
 
-Defined results: a null or empty archive gives no records; a block cut short is marked ``truncated`` and ends its archive; a line
+Defined results: a null or empty archive gives no records; broken bytes that end an archive and give nothing are left out; a block cut short is marked ``truncated`` and ends its archive; a line
 that is no header makes one record of type null with the line as its error, and reading goes on at the next line that is one; repeated
 archives and records are converted each; an empty table gives an empty table; other columns are not read.
 """
@@ -18,18 +21,24 @@ archives and records are converted each; an empty table gives an empty table; ot
 from __future__ import annotations
 
 import base64
+import calendar
+import gzip
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-FIELDS = {1: 5, 2: 10}
+MAGIC = b"\x1f\x8b"
+STEP = 1 << 20
 _TAIL = {
     1: re.compile(rb"^(\S.*) (\S+) (\d{4,17}) (\S+) (\d+)\s*$"),
     2: re.compile(rb"^(\S.*) (\S+) (\d{4,17}) (\S+) (\S+) (\S+) (\S+) (\d+|-) (\S+) (\d+)\s*$"),
@@ -37,29 +46,57 @@ _TAIL = {
 _SCHEME = re.compile(rb"^[a-zA-Z][a-zA-Z0-9+.-]*:")
 SCHEMA = (
     "source string, ordinal int, arc_version int, record_id string, warc_type string, warc_date string, target_uri string, ip string, "
-    "content_type string, content_length long, block_digest string, payload_digest string, truncated boolean, error string"
+    "content_type string, content_length long, block_digest string, payload_digest string, truncated boolean, error string, block binary"
 )
 
 
-def unzipped(data: bytes) -> bytes:
-    """``data``, or the contents of its gzip members; what follows a broken member is left out."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
+def segments(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The readable stretches of ``data``, and whether something broken follows each; all of it if it isn't gzipped."""
+    if data[:2] != MAGIC:
+        yield data, False
+        return
+    held, at = [], 0
+    while at < len(data):
         member = zlib.decompressobj(31)
+        broken, rest = False, memoryview(data)[at:]
+        got = 0
         try:
-            out.append(member.decompress(data) + member.flush())
+            for k in range(0, len(rest), STEP):
+                held.append(member.decompress(rest[k : k + STEP]))
+                got += len(held[-1])
+                if member.eof:
+                    at += min(k + STEP, len(rest)) - len(member.unused_data)
+                    break
+            broken = not member.eof
         except zlib.error:
-            break
-        data = member.unused_data
-    return b"".join(out)
+            broken = True
+        if broken:
+            at = data.find(MAGIC, at + 2)
+            if got or at >= 0:
+                yield b"".join(held), True
+                held = []
+            if at < 0:
+                break
+        elif data[at : at + 2] != MAGIC and at < len(data):  # padding or damage between members
+            padding, begin = data[at : at + 64].strip(b"\0\r\n"), at
+            at = data.find(MAGIC, begin)
+            if at < 0:
+                break
+            if padding[:2] != MAGIC:
+                yield b"".join(held), True
+                held = []
+    if held:
+        yield b"".join(held), False
 
 
 def iso_date(date: str) -> str:
     """ISO form of an ARC date of 4 to 17 digits."""
     d = date[:14] + "00000101000000"[len(date[:14]) :]
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    year, month, day, hour, minute, second = (int(x) for x in (d[:4], d[4:6], d[6:8], d[8:10], d[10:12], d[12:14]))
+    month = month if 1 <= month <= 12 else 1
+    day = day if 1 <= day <= calendar.monthrange(year or 4, month)[1] else 1
+    hour, minute, second = (x if x < most else 0 for x, most in ((hour, 24), (minute, 60), (second, 60)))
+    return f"{year:04}-{month:02}-{day:02}T{hour:02}:{minute:02}:{second:02}Z"
 
 
 def sha1(data: bytes) -> str:
@@ -79,8 +116,18 @@ def header(line: bytes, version: int) -> tuple[bytes, ...] | None:
 
 def records(source: str, data: bytes) -> Iterator[dict]:
     """Every record of one archive."""
-    data = unzipped(data)
-    at, ordinal, version, bad = 0, 0, 0, False
+    ordinal = version = 0
+    for part, broken in segments(data):
+        for record in _records(source, part, ordinal, version):
+            ordinal, version = record["ordinal"] + 1, record["arc_version"]
+            yield record
+        if broken:
+            yield {"source": source, "ordinal": ordinal, "arc_version": version, "error": "broken gzip member"}
+            ordinal += 1
+
+
+def _records(source: str, data: bytes, ordinal: int, version: int) -> Iterator[dict]:
+    at, bad = 0, False
     while at < len(data):
         if data[at] in b"\r\n":
             at += 1
@@ -101,7 +148,7 @@ def records(source: str, data: bytes) -> Iterator[dict]:
             kind, found = 1, header(line, 1)  # version blocks have the short form in both
         if found is None:
             if not bad:
-                yield {"source": source, "ordinal": ordinal, "arc_version": version, "error": line[:200].decode("utf-8", "replace")}
+                yield {"source": source, "ordinal": ordinal, "arc_version": version, "error": line.decode("utf-8", "replace")}
                 ordinal += 1
             bad, at = True, end + 1
             continue
@@ -130,6 +177,7 @@ def records(source: str, data: bytes) -> Iterator[dict]:
             "block_digest": sha1(block),
             "payload_digest": payload,
             "truncated": cut,
+            "block": block,
         }
         ordinal += 1
         at = end + 1 + int(length)
@@ -147,17 +195,24 @@ def rendered(record: dict, block: bytes) -> bytes:
 def convert(archives: DataFrame) -> DataFrame:
     """One row a record of the archives (source, content)."""
     fields = [f.split() for f in SCHEMA.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+    def made(found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in found], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[dict] = []
+            size = 0
             for source, data in zip(common.column(batch, "source").to_pylist(), common.column(batch, "content")):
-                found += records(source or "", data.as_py() or b"")
-                if len(found) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in found], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
-                    found = []
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in found], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
+                for record in records(source or "", data.as_py() or b""):
+                    found.append(record)
+                    size += record.get("content_length", 0)
+                    if len(found) > 5000 or size > 16 << 20:
+                        yield made(found)
+                        found, size = [], 0
+            yield made(found)
 
     return archives.select("source", "content").mapInArrow(run, SCHEMA)
 
@@ -168,6 +223,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return convert(files.select(F.col("path").alias("source"), "content"))
 
 
+def write(converted: DataFrame, folder: str) -> None:
+    """A gzipped WARC file of each partition of ``convert``'s rows, a member a record, in ``folder`` (a URI that all executors reach); error records are left out.
+
+    A file gets its name when it is whole, always the same for a partition, so a task that is run again replaces it.
+    """
+
+    def run(rows: Iterator) -> None:
+        found = (r for r in rows if r["error"] is None)
+        first = next(found, None)
+        if first is None:
+            return
+        files, path = fs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        task = TaskContext.get()
+        name = f"{path}/part-{task.partitionId():05}.warc.gz"
+        with files.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp", compression=None) as out:
+            for r in chain([first], found):
+                out.write(gzip.compress(rendered(r.asDict(), bytes(r["block"])), mtime=0))
+        files.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+
+    converted.foreachPartition(run)
+
+
 def arc_of(pages: DataFrame) -> DataFrame:
     """(source, content): an ARC archive for each page, with its version block, its host's DNS record and the page; versions take turns. A null page_id is named ``null`` and dated as 0."""
     c, lit = F.col, F.lit
@@ -193,7 +271,7 @@ def arc_of(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert(arc_of(common.table(spark, sf_dir, "pages")))
+    return convert(arc_of(common.table(spark, sf_dir, "pages"))).withColumn("block", F.translate(F.base64("block"), "\r\n", ""))
 
 
 def _base32(hexed: str) -> str:
@@ -224,5 +302,5 @@ SELECT source, ordinal::INT AS ordinal, arc_version::INT AS arc_version,
     + _base32("bh")
     + " AS block_digest, CASE WHEN ph IS NOT NULL THEN 'sha1:' || "
     + _base32("ph")
-    + " END AS payload_digest, false AS truncated, NULL::VARCHAR AS error FROM hashed"
+    + " END AS payload_digest, false AS truncated, NULL::VARCHAR AS error, base64(encode(block)) AS block FROM hashed"
 )
