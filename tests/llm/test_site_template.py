@@ -76,3 +76,56 @@ def test_edges(spark):
     assert found[12][1:] == (None, 0) and found[13][1:] == (None, 0) and len(found[None][1]) == 999_999
     assert s.extract(df).columns == ["row", "host", "text", "n_removed"] and s.extract(df).select("row.*").columns == ["page_id", "url", "row", "host"]
     assert s.extract(df.limit(0)).count() == 0
+
+
+def test_parsing_is_linear():
+    import time
+
+    for page in ("<h1>" * 100_000, "<span>" * 100_000 + "</b>" * 100_000, "<a " * 100_000, "<div>" * 200_000 + "x", "<p>" * 100_000, "<!-- " * 100_000, "<a '" * 50_000 + ">"):
+        began = time.process_time()
+        text(page)
+        assert time.process_time() - began < 6, page[:9]
+
+
+def test_what_no_bracket_closes():
+    assert text("<p>a</p>b <!-- c") == "a\nb" and text("<p>a<!-- b > c") == "a" and text("<p>a<script> b > c") == "a" and text("a<!-- b --> c") == "a c" and text("x <y") == "x <y"
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    rows = [(k, "http://h.example/", "<div>only page</div>") for k in range(5)] + [(9, "http://h.example/2", "<div>other</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("a b.c", F.lit(1)).withColumn("d`e", F.lit(2))
+    found = s.extract(df).select("row.*", "text", "n_removed").collect()
+    assert {(r.page_id, r.text, r.n_removed, r["a b.c"], r["d`e"]) for r in found} == {(k, "only page", 0, 1, 2) for k in range(5)} | {(9, "other", 0, 1, 2)}
+
+
+def test_against_another_parser(spark):
+    """Well-formed pages: subtrees compared as strings, by the standard library's parser."""
+    import random
+    import xml.etree.ElementTree as ET
+
+    rng = random.Random(3)
+
+    def element(depth):
+        inside = [rng.choice(["alpha", "beta", "gamma ", ""]) + (element(depth - 1) if depth and rng.random() < 0.7 else "") for _ in range(rng.randint(1, 3))]
+        return (tag := rng.choice(["div", "section", "b", "nav"])) and f"<{tag}>{''.join(inside)}</{tag}>"
+
+    common = [element(2) for _ in range(6)]
+    pages = [(k, f"http://h{k % 2}.example/", "<html><body>" + "".join(rng.choice([rng.choice(common), element(2), f"own{k}"]) for _ in range(8)) + "</body></html>") for k in range(60)]
+    blocks = {"div", "section", "nav", "html", "body"}
+    seen, total = defaultdict(Counter), Counter(u for _, u, _ in pages)
+    for _, url, html in pages:
+        seen[url].update({ET.tostring(x) for x in ET.fromstring(html).iter() if x.tag in blocks - {"html"} and "".join(x.itertext()).strip() for x.tail in [None]})
+
+    def lines(x, url):
+        if x.tag in blocks - {"html"} and "".join(x.itertext()).strip():
+            tail, x.tail = x.tail, None
+            gone = seen[url][ET.tostring(x)] >= max(s.MIN_PAGES, s.MIN_SHARE * total[url])
+            x.tail = tail
+            if gone:
+                return "\n"
+        inner = (x.text or "") + "".join(lines(y, url) + (y.tail or "") for y in x)
+        return f"\n{inner}\n" if x.tag in blocks else inner
+
+    want = {k: "\n".join(y for x in lines(ET.fromstring(html), url).split("\n") if (y := " ".join(x.split()))) for k, url, html in pages}
+    found = {r.page_id: r.text for r in s.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).select("row.page_id", "text").collect()}
+    assert found == want and any(text(html) != want[k] for k, _, html in pages)
