@@ -8,9 +8,10 @@ characters (rulers and padding are no secrets). A run that doesn't score as a wh
 paths and URLs do: its segment of the largest sum under one random model, widened to the ``/ - _ +`` around it, is
 judged alike, with ``INSIDE`` nats more for the choice of its place, and so is what remains on either side.
 
-The labelled samples are bounded: ``SAMPLE`` strings of each kind. Random ones come from a seeded generator; ordinary ones
-are words of the corpus (letters only, hence no keys; those with the smallest hashes) and the identifiers and paths
-made of them, and numbers, which are no secrets however long.
+The labelled samples are bounded by ``SAMPLE``. Random strings, ``SAMPLE`` / 10 of each alphabet, come from a seeded generator.
+Ordinary ones are ``SAMPLE`` words of the corpus at most (letters only, hence no keys; those with the smallest hashes of the
+``WORD_DOCS`` documents with the smallest hashes), as many identifiers and paths made of them, and ``SAMPLE`` / 4 numbers,
+which are no secrets however long.
 
 Positions are byte offsets in the UTF-8 text, end exclusive; what is found is reported with all but 4 characters masked.
 
@@ -29,6 +30,7 @@ from . import common
 
 MIN_LENGTH = 20
 SAMPLE = 4000
+WORD_DOCS = 200
 THRESHOLD = 10.0
 PER_CHARACTER = 0.25
 INSIDE = 5.0
@@ -61,9 +63,9 @@ def ordinary_samples(words: list[str], n: int = SAMPLE, seed: int = 12) -> list[
     return [("ordinary", x) for x in made]
 
 
-def corpus_words(docs: DataFrame, n: int = SAMPLE) -> list[str]:
-    """``n`` distinct ASCII words of the corpus at most, those with the smallest hashes, from the documents with the smallest."""
-    some = docs.filter("text IS NOT NULL").select("text", F.xxhash64(F.lit("secret"), F.col("doc_id")).alias("h")).orderBy("h", "text").limit(200).select("text")
+def corpus_words(docs: DataFrame, n: int = SAMPLE, word_docs: int = WORD_DOCS) -> list[str]:
+    """``n`` distinct ASCII words at most, those with the smallest hashes, of the ``word_docs`` documents with the smallest."""
+    some = docs.filter("text IS NOT NULL").select("text", F.xxhash64(F.lit("secret"), F.col("doc_id")).alias("h")).orderBy("h", "text").limit(word_docs).select("text")
     word = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9])[a-z]{2,30}(?![a-z0-9])"), F.lit(0)))).alias("w")).distinct()
     return [r["w"] for r in word.orderBy(F.xxhash64("w"), "w").limit(n).collect()]
 
@@ -128,8 +130,8 @@ def inside(model: Model, raw: np.ndarray, start: int, end: int, threshold: float
     return found
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    return Model(random_samples(sample) + ordinary_samples(corpus_words(docs, sample), sample))
+def train(docs: DataFrame, sample: int = SAMPLE, word_docs: int = WORD_DOCS) -> Model:
+    return Model(random_samples(sample) + ordinary_samples(corpus_words(docs, sample, word_docs), sample))
 
 
 SCHEMA = "doc_id long, byte_start long, byte_end long, kind string, score double, masked string"
