@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import codecs
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Web labels to codecs that read at least what the label promises.
 CODECS = {
@@ -35,10 +36,9 @@ def detect_bytes(data: bytes) -> str:
             text = data.decode(CODECS[label])
         except UnicodeDecodeError:
             continue
-        wide = [c for c in text if ord(c) > 0x7F]
+        wide = {c: n for c, n in Counter(text).items() if ord(c) > 0x7F}
         # level-one characters of both sets sort below these lead bytes; real prose uses hardly any others
-        common = sum(_is_common(c, label) for c in wide)
-        share = common / len(wide) if wide else 0.0
+        share = sum(n for c, n in wide.items() if _is_common(c, label)) / max(1, sum(wide.values()))
         if share > top:
             best, top = label, share
     return best
@@ -62,7 +62,7 @@ def decode_bytes(data: bytes | None, label: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def _decode(data: pd.Series, label: pd.Series) -> pd.Series:
-    return pd.Series([decode_bytes(d, x) for d, x in zip(data, label)], dtype=object)
+    return pd.Series([None if d is None else decode_bytes(d, x) for d, x in zip(data, label)], dtype=object)
 
 
 @F.pandas_udf(StringType())
@@ -70,14 +70,38 @@ def _detect(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else detect_bytes(bytes(d)) for d in data], dtype=object)
 
 
+@F.pandas_udf(StructType([StructField("encoding", StringType()), StructField("text", StringType())]))
+def _detect_decode(data: pd.Series) -> pd.DataFrame:
+    labels = [None if d is None else detect_bytes(bytes(d)) for d in data]
+    return pd.DataFrame({"encoding": labels, "text": [None if x is None else decode_bytes(d, x) for d, x in zip(data, labels)]}, dtype=object)
+
+
+def _valid(content: Column) -> Column:
+    return F.is_valid_utf8(content.cast("string"))
+
+
+def _plain(content: Column) -> Column:
+    """Valid UTF-8 as text, without its byte-order mark."""
+    text = content.cast("string")
+    return F.when(F.startswith(text, F.lit("﻿")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+
+
 def decode_text(content: Column, encoding: Column) -> Column:
-    return _decode(content, encoding)
+    """Valid UTF-8 that is said to be so stays on the JVM; Python gets the rest only."""
+    easy = F.lower(F.trim(F.coalesce(encoding, F.lit("utf-8")))).isin("utf-8", "utf8") & _valid(content)
+    return F.when(easy, _plain(content)).otherwise(_decode(F.when(~easy, content), encoding))
 
 
 def detect_encoding(content: Column) -> Column:
-    return _detect(content)
+    return F.when(_valid(content), F.lit("utf-8")).otherwise(_detect(F.when(~_valid(content), content)))
+
+
+def detect_decode(content: Column) -> Column:
+    """Struct of encoding and text; what isn't valid UTF-8 goes to Python once for both."""
+    other = _detect_decode(F.when(~_valid(content), content))
+    return F.when(_valid(content), F.struct(F.lit("utf-8").alias("encoding"), _plain(content).alias("text"))).otherwise(other)
 
 
 def transform_text(content: Column) -> Column:
     """Detected and decoded in one go; null for no text."""
-    return F.nullif(decode_text(content, detect_encoding(content)), F.lit(""))
+    return F.nullif(detect_decode(content)["text"], F.lit(""))

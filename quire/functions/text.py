@@ -52,13 +52,41 @@ def language(tag: Column) -> Column:
 
 
 def interpolate(template: Column, params: list) -> Column:
-    """``{{n}}`` becomes params[n]; a placeholder without a parameter, or with an empty one, stays."""
-    made = F.coalesce(template, F.lit(""))
-    for n, value in enumerate(params):
-        text = "" if value is None or value in (0, "") else str(value)
-        if text:
-            made = F.replace(made, F.lit("{{%d}}" % n), F.lit(text))
-    return made
+    """``{{n}}`` becomes params[n]; a placeholder without a parameter, or with an empty one, stays. One pass: what a value holds isn't replaced again."""
+    text = F.coalesce(template, F.lit(""))
+    names = F.regexp_extract_all(text, F.lit(r"\{\{(\w+)\}\}"), F.lit(1))
+    gaps = F.split(text, r"\{\{\w+\}\}", -1)
+    given = {str(n): str(v) for n, v in enumerate(params) if v is not None and v not in (0, "")}
+    value = F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) if given else F.lit(None).cast("map<string,string>")
+    number = lambda name: F.when(name.rlike("^[0-9]+$"), F.regexp_replace(name, "^0+(?=.)", ""))
+    made = F.transform(names, lambda name: F.coalesce(value[number(name)], F.concat(F.lit("{{"), name, F.lit("}}"))))
+    return F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(made, F.slice(gaps, F.lit(2), F.size(made)), lambda m, g: F.concat(m, g)), ""))
+
+
+#: Interface strings but for the seed books' (see the manifest): key to English, simplified and traditional Chinese.
+STRINGS = {
+    "search": ("Search", "搜索", "搜尋"),
+    "ebook": ("E-book", "电子书", "電子書"),
+    "search_result_1": ("The book with", "全文中提到", "全文中提到"),
+    "search_result_2": ("is mentioned in the full text", "的书", "的書"),
+    "search_result_3": (" · ", " · ", " · "),
+    "no_result": ("No results", "无结果", "無結果"),
+    "my_bookcase": ("My bookcase", "我的书架", "我的書架"),
+    "home": ("Home", "首页", "首頁"),
+    "previous_page": ("Previous page", "上一页", "上一頁"),
+    "next_page": ("Next page", "下一页", "下一頁"),
+    "preface": ("Preface", "前言", "前言"),
+}
+STRINGS_LOCALES = ("en", "zh-CN", "zh-HK")
+
+
+def translated(key: Column, tag: Column, strings: dict[str, tuple[str, str, str]] = STRINGS) -> Column:
+    """The string of a key in the interface language of a language tag; empty for a key that isn't there."""
+    if not strings:
+        return F.lit("")
+    of = F.create_map(*[x for k, v in strings.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    place = F.array_position(F.array(*map(F.lit, STRINGS_LOCALES)), language(tag)).cast("int")
+    return F.coalesce(F.get(of[key], place - 1), F.lit(""))
 
 
 def roman_to_int(roman: Column) -> Column:

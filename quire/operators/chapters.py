@@ -55,11 +55,26 @@ def sections(texts: DataFrame, preface: str = "Preface", start: str = OPEN, end:
     return each.select("id", "title_id", "s.title", without_first_markers(body, start, end).alias("section"))
 
 
+def _starts(pattern: str, found: Column) -> Column:
+    """Offsets of the pattern's matches ``found``: the gaps before them are what a split at the pattern leaves."""
+    gaps = F.slice(F.split("text", pattern, -1), F.lit(1), F.size(found))
+    sums = _running(F.zip_with(F.transform(gaps, F.length), F.transform(found, F.length), lambda g, m: g + m))
+    return F.zip_with(sums, found, lambda s, m: s - F.length(m))
+
+
+def _headings(texts: DataFrame, pattern: str, group: int) -> DataFrame:
+    base = texts.withColumn("_found", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    base = base.withColumn("_starts", _starts(pattern, F.col("_found"))).withColumn("_size", F.length("text"))
+    titles = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    each = F.transform(titles, lambda t, i: F.struct(t.alias("heading"), F.get("_starts", i).alias("start"), F.coalesce(F.get("_starts", i + 1), F.col("_size")).alias("end")))
+    return _each(base, each, "n", "h", "id").select("id", "n", "h.heading", "h.start", "h.end")
+
+
 def numbered_headings(texts: DataFrame) -> DataFrame:
-    """(id, n, heading) of Chinese-numbered and Chapter headings."""
-    return _each(texts, F.regexp_extract_all("text", F.lit(NUMBERED), F.lit(0)), "n", "heading", "id")
+    """(id, n, heading, start) of Chinese-numbered and Chapter headings."""
+    return _headings(texts, NUMBERED, 0).drop("end")
 
 
 def roman_headings(texts: DataFrame) -> DataFrame:
-    """(id, n, heading) of Roman numerals that stand alone."""
-    return _each(texts, F.regexp_extract_all("text", F.lit(ROMAN), F.lit(1)), "n", "heading", "id")
+    """(id, n, heading, start, end) of Roman numerals that stand alone; start is that of the white space before, end the next one's start or the text's end."""
+    return _headings(texts, ROMAN, 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import BOOKS
@@ -44,28 +44,44 @@ def key_range(books: DataFrame, low: str | None = None, high: str | None = None,
 
 def first_wins(books: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """One row a key: that with the lowest ordinal."""
-    rest = [c for c in books.columns if c != "id"]
-    return books.groupBy("id").agg(F.min_by(F.struct(*rest), ordinal).alias("row")).select("id", "row.*")
+    return books.groupBy("id").agg(F.min_by(_rest(books), ordinal).alias("row")).select("id", "row.*")
 
 
-def insert_if_absent(books: DataFrame, added: DataFrame) -> DataFrame:
-    """``books`` and the rows of ``added`` whose key it lacks; stored rows stay as they are."""
+def last_wins(books: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """One row a key: that with the highest ordinal."""
+    return books.groupBy("id").agg(F.max_by(_rest(books), ordinal).alias("row")).select("id", "row.*")
+
+
+def _rest(books: DataFrame) -> Column:
+    """All columns but the key."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in books.columns if c != "id"])
+
+
+def insert_if_absent(books: DataFrame, added: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """``books`` and the rows of ``added`` whose key it lacks; stored rows stay as they are. With ``ordinal`` the first of ``added`` that share a key stays, else they must not share any."""
+    added = first_wins(added, ordinal) if ordinal else added
     return books.unionByName(added.join(books.select("id"), "id", "left_anti"))
 
 
 def insert(books: DataFrame, added: DataFrame) -> DataFrame:
     """``books`` and ``added``; a key that is stored already, or twice in ``added``, is an error."""
-    clash = added.join(books.select("id"), "id", "left_semi").select("id")
-    twice = added.groupBy("id").count().filter("count > 1").select("id")
-    if found := clash.unionByName(twice).head(1):
+    if found := clashes(books, added).head(1):
         raise ValueError(f"the key {found[0]['id']} exists")
     return books.unionByName(added)
 
 
-def upsert(books: DataFrame, changed: DataFrame) -> DataFrame:
-    """Rows of ``changed`` replace those of their keys or are added."""
+def upsert(books: DataFrame, changed: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """Rows of ``changed`` replace those of their keys or are added. With ``ordinal`` the last of ``changed`` that share a key counts, else they must not share any."""
+    changed = last_wins(changed, ordinal) if ordinal else changed
     return books.join(changed.select("id"), "id", "left_anti").unionByName(changed)
 
 
+def clashes(books: DataFrame, added: DataFrame) -> DataFrame:
+    """(id, stored, times) of the keys that ``insert`` refuses: stored already, or more than once in ``added``."""
+    times = added.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    found = times.join(books.select("id").distinct().withColumn("stored", F.lit(True)), "id", "left")
+    return found.select("id", F.coalesce("stored", F.lit(False)).alias("stored"), "times").filter("stored OR times > 1")
+
+
 def delete(books: DataFrame, keys: DataFrame) -> DataFrame:
     return books.join(keys.select("id"), "id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import web
-from ..functions.charset import decode_text, detect_encoding, transform_text
+from ..functions.charset import decode_text, detect_decode, detect_encoding, transform_text
 from ..operators import chapters as C
 from ..operators import paginate as P
 from ..operators import search as S
@@ -179,9 +179,52 @@ def add_books(spark, sf_dir):
     return I.add_books(stored, added).select("id", "title", "author", "image", "encoding")
 
 
-@query("seed_manifest", "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, '{u}', '{t[0]}', '{a[0]}', '{y}')" for n, (u, t, a, y) in enumerate(I.SEED)) + ") AS v(ordinal, url, title, author, author_date)")
+MANIFEST = """SELECT (row_number() OVER () - 1)::BIGINT AS ordinal, * FROM (VALUES
+ ('princekin/princekin.txt', 'princekin/image.png', '小王子', '安托万·德·圣埃克苏佩里', '1900-1944'), ('camelXiangzi/camelXiangzi.txt', '', '骆驼祥子', '老舍（舒庆春）', '1899-1966'),
+ ('theThreeKingdoms/theThreeKingdoms.txt', '', '三国演义', '罗贯中', '1330-1400'), ('theWealthOfNations/theWealthOfNations.txt', '', '国富论', '亚当·斯密', '1723-1790'),
+ ('TheHunchbackofNotre-Dame/TheHunchbackofNotre-Dame.txt', '', '巴黎圣母院', '维克多·雨果', '1802-1885'), ('JaneEyre/JaneEyre.txt', '', '简爱', '夏洛蒂·勃朗特', '1816-1855'),
+ ('walden/walden.txt', '', '瓦尔登湖', '亨利·戴维·梭罗', '1817-1862'), ('snowWhite/snowWhite.txt', '', '白雪公主', '格林兄弟', '1789-1863')) AS v(url, image, title, author, author_date)"""
+
+
+@query("seed_manifest", MANIFEST)
 def seed_manifest(spark, sf_dir):
-    return I.seed_manifest(spark).select("ordinal", "url", "title", "author", "author_date")
+    return I.seed_manifest(spark, "zh-CN")
+
+
+@query("insert_clash", f"WITH {SHELF}, a AS (SELECT id, ordinal % 2 = 0 AS stored, 1 + (ordinal % 5 = 0)::INT AS times FROM shelf WHERE ordinal % 3 = 0) SELECT id, stored, times::BIGINT AS times FROM a WHERE stored OR times > 1")
+def insert_clash(spark, sf_dir):
+    base, new = halves(spark, sf_dir)
+    added = new.filter("ordinal % 3 = 0")
+    return K.clashes(base, added.unionByName(added.filter("ordinal % 5 = 0")))
+
+
+@query("upsert_batch", f"WITH {SHELF} SELECT id, CASE WHEN ordinal % 5 = 0 THEN 'last ' || ordinal WHEN ordinal % 3 = 0 THEN 'new ' || title ELSE title END AS title, author FROM shelf WHERE ordinal % 2 = 0 OR ordinal % 3 = 0 OR ordinal % 5 = 0")
+def upsert_batch(spark, sf_dir):
+    """A key twice in one batch: the last one counts."""
+    base, new = halves(spark, sf_dir)
+    last = new.filter("ordinal % 5 = 0").withColumns({"title": F.concat(F.lit("last "), F.col("ordinal").cast("string")), "turn": F.lit(2)})
+    changed = new.filter("ordinal % 3 = 0").withColumn("turn", F.lit(1)).unionByName(last)
+    return K.upsert(base.withColumn("turn", F.lit(0)), changed, "turn").select("id", "title", "author")
+
+
+@query("skip_unreadable", f"WITH {BOOKS} SELECT id, title FROM books WHERE ordinal % 3 = 2 AND contains(lower(text), 'tion')")
+def skip_unreadable(spark, sf_dir):
+    """Content search over books of which some have no content and some an encoding that nothing decodes."""
+    kind = F.col("ordinal") % 3
+    stored = books(spark, sf_dir, True).withColumns({"content": F.when(kind != 0, F.encode("text", "UTF-8")), "encoding": F.when(kind == 1, "no-such-set").otherwise("utf-8")}).drop("text")
+    return S.by_content(I.book_text(stored), "tion").select("id", "title")
+
+
+FOREIGN = [("gb18030", "我们今天去公园看书，天气很好。"), ("big5", "我們今天去公園看書，天氣很好。"), ("windows-1252", "Ça déjà été à l’hôtel près d’ici. "), ("utf-8", "Ça déjà été 我们 "), ("utf-16be", "我们 déjà ")]
+
+
+@query("decode_foreign", "SELECT encoding || n AS id, encoding, repeat(text, n::INT) AS text FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in FOREIGN) + ") AS v(encoding, text), range(1, 8) AS r(n)")
+def decode_foreign(spark, sf_dir):
+    """Sets that aren't UTF-8, detected and decoded."""
+    codecs = {"windows-1252": "cp1252", "utf-16be": "utf-16-be"}
+    made = [(f"{k}{n}", bytearray((("\ufeff" if k == "utf-16be" else "") + t * n).encode(codecs.get(k, k)))) for k, t in FOREIGN for n in range(1, 8)]
+    found = spark.createDataFrame(made, "id string, content binary").select("id", detect_decode(F.col("content")).alias("d"))
+    return found.select("id", "d.encoding", "d.text")
 
 
 @query("normalize_newlines", "SELECT doc_id, regexp_replace(replace(text, chr(10), chr(13) || chr(10) || chr(10)), '[' || chr(13) || chr(10) || ']+', chr(10), 'g') AS text FROM documents")
@@ -218,10 +261,17 @@ def normalize_language(spark, sf_dir):
     return tags.select("tag", T.language(F.col("tag")).alias("language"))
 
 
-@query("interpolate", "SELECT doc_id, 'x of {{1}} {{2}} ' || doc_id AS text FROM documents")
+@query("interpolate", "SELECT doc_id, '{{3}} of {{1}} {{2}} y{{name}}{{9}}' || doc_id AS text FROM documents")
 def interpolate(spark, sf_dir):
-    template = F.concat(F.lit("{{0}} of {{1}} {{2}} "), F.col("doc_id").cast("string"))
-    return read(spark, sf_dir, "documents").select("doc_id", T.interpolate(template, ["x", ""]).alias("text"))
+    template = F.concat(F.lit("{{0}} of {{1}} {{2}} {{3}}{{name}}{{9}}"), F.col("doc_id").cast("string"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.interpolate(template, ["{{3}}", "", 0, "y"]).alias("text"))
+
+
+@query("translate", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Preface' WHEN 1 THEN '搜索' WHEN 2 THEN '無結果' ELSE '' END AS text FROM documents")
+def translate(spark, sf_dir):
+    k = (F.col("doc_id") % 4).cast("int")
+    pick = lambda *x: F.get(F.array(*map(F.lit, x)), k)
+    return read(spark, sf_dir, "documents").select("doc_id", T.translated(pick("preface", "search", "no_result", "nothing"), pick("fr", "zh-SG", "zh-TW", "en")).alias("text"))
 
 
 NUMERALS = {"XIV": 14, "IX": 9, "MCMXCIV": 1994, "IIX": 10, "": 0, "CDXLIV": 444}
@@ -270,17 +320,57 @@ def html_chapters(spark, sf_dir):
 HEADED = [("a", "第 一章 开始\n第3 章 y"), ("b", "Chapter 12  Intro\nCHAPTER 7 End"), ("c", "第一章 x"), ("d", "Chapter 1\nFoo"), ("e", " I II III "), ("f", "IV\nhello XIV x XX")]
 
 
-@query("numbered_headings", "SELECT * FROM (VALUES ('a', 0, '第 一章 开始'), ('a', 1, '第3 章 y'), ('b', 0, 'Chapter 12  Intro'), ('b', 1, 'CHAPTER 7 End'), ('d', 0, 'Chapter 1' || chr(10) || 'Foo')) AS v(id, n, heading)")
+HEAD_LITERALS = "('a', 0, '第 一章 开始', 0), ('a', 1, '第3 章 y', 8), ('b', 0, 'Chapter 12  Intro', 0), ('b', 1, 'CHAPTER 7 End', 18), ('d', 0, 'Chapter 1' || chr(10) || 'Foo', 0)"
+ROMAN_SQL = r"(?:\s|^)(I{1,3}|IV|V|VI|VII|VIII|IX|X|XI|XII|XIII|XIV|XV|XVI|XVII|XVIII|XIX|XX)(?:\s|$)"
+
+
+def headed(spark, sf_dir, first: str, last: str) -> DataFrame:
+    """The literal texts, and all documents between two headings."""
+    d = wide(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.concat(F.lit(first), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit(last))
+    return spark.createDataFrame(HEADED, "id string, text string").unionByName(d.select(F.col("doc_id").cast("string").alias("id"), text.alias("text")))
+
+
+@query(
+    "numbered_headings",
+    f"WITH d AS (SELECT doc_id::VARCHAR AS id, length(text) AS size FROM documents) SELECT * FROM (VALUES {HEAD_LITERALS}) AS v(id, n, heading, start) "
+    "UNION ALL SELECT id, 0, 'Chapter 4  T' || id, 6 FROM d UNION ALL SELECT id, 1, '第8 章 end', (6 + 12 + length(id) + 1 + size + 1)::INT FROM d",
+)
 def numbered_headings(spark, sf_dir):
-    return C.numbered_headings(spark.createDataFrame(HEADED, "id string, text string"))
+    return C.numbered_headings(headed(spark, sf_dir, "Intro\nChapter 4  T", "\n第8 章 end"))
 
 
-@query("roman_headings", "SELECT * FROM (VALUES ('e', 0, 'I'), ('e', 1, 'III'), ('f', 0, 'IV'), ('f', 1, 'XIV'), ('f', 2, 'XX')) AS v(id, n, heading)")
+@query(
+    "roman_headings",
+    "WITH lit AS (SELECT * FROM (VALUES ('a', '第 一章 开始' || chr(10) || '第3 章 y'), ('b', 'Chapter 12  Intro' || chr(10) || 'CHAPTER 7 End'), ('c', '第一章 x'), ('d', 'Chapter 1' || chr(10) || 'Foo'), ('e', ' I II III '), ('f', 'IV' || chr(10) || 'hello XIV x XX')) AS v(id, text)), "
+    "t AS (SELECT * FROM lit UNION ALL SELECT doc_id::VARCHAR, 'IX ' || doc_id || chr(10) || text || ' XIV' FROM documents), "
+    f"m AS (SELECT id, text, string_split_regex(text, '{ROMAN_SQL}') AS gaps, regexp_extract_all(text, '{ROMAN_SQL}') AS marks, regexp_extract_all(text, '{ROMAN_SQL}', 1) AS titles FROM t), "
+    "e AS (SELECT id, length(text) AS size, i, titles[i] AS heading, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(marks[1:i - 1], lambda g: length(g))), 0))::INT AS start FROM (SELECT *, unnest(range(1, len(marks) + 1)) AS i FROM m)) "
+    'SELECT id, (i - 1)::INT AS n, heading, start, coalesce(lead(start) OVER (PARTITION BY id ORDER BY i), size)::INT AS "end" FROM e',
+)
 def roman_headings(spark, sf_dir):
-    return C.roman_headings(spark.createDataFrame(HEADED, "id string, text string"))
+    return C.roman_headings(headed(spark, sf_dir, "IX ", " XIV"))
+
+
+#: DuckDB: layout line by line. A state is a section, its page, where the page and the line begin, and the line's number; ``stop`` is set where a page ends.
+STICKS = r"[A-Za-z0-9_\-.,!?;:''\"()\[\]{}]"
+LAID = rf"""
+sec AS (SELECT id, (chapter_no + 1)::INT AS title_id, regexp_replace(regexp_replace(substr(t, start + 1, "end" - start), '<caption-title>', ''), '</caption-title>', '') AS s FROM chapters
+        UNION ALL SELECT id, 0, substr(t, 1, start) FROM chapters WHERE chapter_no = 0),
+walk(id, title_id, s, page, begin, pos, line, first, stop) AS (
+  SELECT id, title_id, s, 0, 0, 0, 0, NULL::INT, NULL::INT FROM sec WHERE length(s) > 0
+  UNION ALL
+  SELECT id, title_id, s, page + (e IS NOT NULL)::INT, coalesce(e, begin), coalesce(e, til), CASE WHEN e IS NULL THEN line + 1 ELSE 0 END, CASE WHEN e IS NOT NULL THEN begin END, e
+  FROM (SELECT *, CASE WHEN line + 1 < 15 AND til < length(s) THEN NULL WHEN til < length(s) AND regexp_matches(substr(s, til + 1, 1), '{STICKS}') AND tail - word > 315 - (til - begin) AND word > begin THEN word ELSE til END AS e
+        FROM (SELECT *, word0 + length(regexp_extract(substr(s, word0 + 1), '^[^A-Za-z0-9_\-.,!?;:''\"()\[\]{{}}]*')) AS word
+              FROM (SELECT *, CASE WHEN contains(left(s, til), ' ') THEN til - strpos(reverse(left(s, til)), ' ') + 1 ELSE 0 END AS word0, til + greatest(strpos(substr(s, til + 1), ' ') - 1, 0) AS tail
+                    FROM (SELECT *, (CASE WHEN nl >= 0 AND nl <= k THEN pos + nl + 1 ELSE least(pos + k, length(s)) END)::INT AS til
+                          FROM (SELECT *, strpos(substr(s, pos + 1), chr(10)) - 1 AS nl, coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: list_sum(w[1:i]) >= 336)), length(s) - pos + 1) AS k
+                                FROM (SELECT *, list_transform(string_split(substr(s, pos + 1, 40), ''), lambda c: CASE WHEN regexp_matches(c, '{STICKS}') THEN 9 ELSE 16 END) AS w FROM walk WHERE pos < length(s))))))))
+"""
 
 
-@query("paginate")
+@query("paginate", f'WITH RECURSIVE {TALK}, {MARKED}, {LAID} SELECT id, title_id, page - 1 AS page_in_title, first AS start, stop AS "end", substr(s, first + 1, stop - first) AS text, (row_number() OVER (PARTITION BY id ORDER BY title_id, page) - 1)::INT AS page_no FROM walk WHERE stop IS NOT NULL')
 def paginate(spark, sf_dir):
     return P.pages(C.sections(talks(spark, sf_dir)), HEIGHT, WIDTH)
 
@@ -304,10 +394,11 @@ def first_page(spark, sf_dir):
     return P.first_pages(lines(spark, sf_dir)[0])
 
 
-@query("contents", f"WITH {PAGED}, f AS ({FIRST}) SELECT id, title_id, role AS title, first_page, first_page_compat FROM f JOIN (SELECT DISTINCT id, title_id, role FROM lines) USING (id, title_id)")
+@query("contents", f"WITH {PAGED}, kept AS (SELECT * FROM paged WHERE title_id % 3 <> 2), f AS ({FIRST.replace('FROM paged', 'FROM kept')}) SELECT id, title_id, role AS title, coalesce(first_page, -1) AS first_page, coalesce(first_page_compat, -1) AS first_page_compat FROM (SELECT DISTINCT id, title_id, role FROM lines) LEFT JOIN f USING (id, title_id)")
 def contents(spark, sf_dir):
+    """Some titles have no page; -1 stands for that."""
     pages, titles = lines(spark, sf_dir)
-    return P.contents(titles, pages)
+    return P.contents(titles, pages.filter("title_id % 3 <> 2")).fillna(-1)
 
 
 @query("page_title", f"WITH {PAGED} SELECT id, page_no, title_id, role AS title FROM paged")

@@ -24,6 +24,30 @@ def test_scalars(spark):
     assert one(spark, "a/b/c.txt", text.last_segment) == "c.txt"
 
 
+def test_strings(spark):
+    assert one(spark, "{{0}} {{1}}", lambda c: text.interpolate(c, ["{{1}}", "x"])) == "{{1}} x"
+    assert one(spark, "{{01}}{{ 0}}{{0}}", lambda c: text.interpolate(c, ["a$1", "b"])) == "b{{ 0}}a$1" and one(spark, None, lambda c: text.interpolate(c, ["a"])) == ""
+    for tag, want in (("zh-hk", "首頁"), ("zh", "首页"), ("fr", "Home")):
+        assert one(spark, "home", lambda c: text.translated(c, F.lit(tag))) == want  # noqa: B023
+    assert one(spark, "no-key", lambda c: text.translated(c, F.lit("en"))) == "" and one(spark, None, lambda c: text.translated(c, F.lit("en"))) == ""
+
+
+def test_batches_with_a_key_twice(spark):
+    base, batch = spark.createDataFrame([("a", 0, 0)], "id string, `v.w` int, n int"), spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1), ("b", 4, 2)], "id string, `v.w` int, n int")
+    assert {tuple(r) for r in store.upsert(base, batch, "n").collect()} == {("a", 2, 2), ("b", 4, 2)}
+    assert {tuple(r) for r in store.insert_if_absent(base, batch, "n").collect()} == {("a", 0, 0), ("b", 3, 1)}
+    assert {tuple(r) for r in store.clashes(base, batch).collect()} == {("a", True, 2), ("b", False, 2)}
+
+
+def test_valid_utf8_stays_on_the_jvm(spark):
+    rows = [(b"\xef\xbb\xbfh\xc3\xa9", "UTF-8 "), (b"", None), (None, "utf-8"), ("汉字汉字我们的".encode("gb18030"), "gbk"), (b"a\xffb", "utf-8"), (b"abc", "no-such-set"), (b"\xff\xfea\x00", "utf-16le")]
+    df = spark.createDataFrame([(bytearray(c) if c is not None else None, e) for c, e in rows], "content binary, encoding string")
+    assert [r[0] for r in df.select(charset.decode_text(F.col("content"), F.col("encoding"))).collect()] == ["hé", "", None, "汉字汉字我们的", "a\ufffdb", None, "a"]
+    got = df.select(charset.detect_decode(F.col("content")).alias("d"), charset.detect_encoding(F.col("content")).alias("e")).select("d.*", "e").collect()
+    assert [r.e for r in got] == ["utf-8", "utf-8", None, "gb18030", "windows-1252", "utf-8", "utf-16le"] and [r.text for r in got] == ["hé", "", None, "汉字汉字我们的", "aÿb", "abc", "a"]
+    assert all(r.e == r.encoding for r in got)
+
+
 def test_decoding():
     assert charset.decode_bytes(b"\xef\xbb\xbfabc", "utf-8") == "abc"
     assert charset.decode_bytes("汉字".encode("gb18030"), "gb2312") == "汉字"
