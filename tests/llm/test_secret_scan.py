@@ -74,3 +74,66 @@ def test_edges(spark, nasty):
     assert sorted((r.doc_id is None, r.doc_id, r.byte_start, r.byte_end) for r in found) == sorted([(False, 1, 3, 43), (False, 1, 44, 84)] * 2 + [(True, None, 0, 40)])
     assert all(r.masked == key[:4] + "*" * 36 for r in found)
     assert s.scan(nasty).count() == 0 and s.scan(nasty.limit(0)).count() == 0
+
+
+def brute_findings(model, text):
+    """(byte_start, byte_end, kind, score) of one text, run by run and character by character."""
+    found = []
+
+    def sums(run):
+        kinds = []
+        for r in model.ratio:
+            total, before = [0.0], 0
+            for c in run:
+                now = s.CHARACTERS.index(chr(c)) + 1
+                total.append(total[-1] + float(r[before, now]))
+                before = now
+            kinds.append(total)
+        return kinds
+
+    for m in re.finditer(rb"[A-Za-z0-9_+/-]{20,}", text.encode()):
+        run, kinds = m[0], sums(m[0])
+        best = max(range(len(kinds)), key=lambda k: kinds[k][-1])
+        score = kinds[best][-1]
+        if score >= 10 and score >= 0.25 * len(run) and len(set(run)) >= 6:
+            found.append((m.start(), m.end(), model.kinds[best], score))
+            continue
+        todo = [(0, len(run))] if len(run) > 20 else []
+        while todo:
+            low, high = todo.pop()
+            if high - low < 20:
+                continue
+            top, kind, start, end = -1.0, 0, low, low
+            for k, total in enumerate(kinds):
+                least = low
+                for e in range(low, high + 1):
+                    if total[e] < total[least]:
+                        least = e
+                    if total[e] - total[least] > top:
+                        top, kind, start, end = total[e] - total[least], k, least, e
+            if top < 15:
+                continue
+            a, b = start, end
+            while a > low and chr(run[a - 1]) not in "_-+/":
+                a -= 1
+            while b < high and chr(run[b]) not in "_-+/":
+                b += 1
+            score = kinds[kind][b] - kinds[kind][a]
+            if b - a >= 20 and score >= 15 and score >= 0.25 * (b - a) and len(set(run[a:b])) >= 6:
+                found.append((m.start() + a, m.start() + b, model.kinds[kind], score))
+            todo += [(low, min(a, start)), (max(b, end), high)]
+    return found
+
+
+def test_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model, rng = s.train(docs), np.random.default_rng(8)
+    want = {(r.doc_id, *x[:3]): x[3] for r in docs.collect() for x in brute_findings(model, r.text)}
+    found = {(r.doc_id, r.byte_start, r.byte_end, r.kind): r.score for r in s.query(spark, DATA).collect()}
+    assert want and found.keys() == want.keys() and all(abs(found[k] - v) < 1e-6 for k, v in want.items())
+    words = s.corpus_words(docs)
+    parts = lambda n: [words[i] if rng.random() < 0.7 else "".join(rng.choice(list(s.CHARACTERS[:62]), rng.integers(8, 40))) for i in rng.integers(0, len(words), n)]
+    odd = [(k, "é ".join("".join(x + rng.choice(list("/-_+ ")) for x in parts(rng.integers(2, 12))) for _ in range(5))) for k in range(150)]
+    want = {(k, *x[:3]) for k, t in odd for x in brute_findings(model, t)}
+    found = {(r.doc_id, r.byte_start, r.byte_end, r.kind) for r in s.scan(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()}
+    assert len(want) > 50 and found == want
