@@ -177,3 +177,43 @@ def test_edges(spark, nasty, same):
     assert pairs == {(1, 2, 1.0), (7, 8, 1.0)}
     same(j.drop_near(nasty), [1, 1, 3, 4, 5, 6, 7, 9, 10, 11, 12, None, None])
     assert j.join(nasty.limit(0)).count() == 0 and j.drop_near(nasty.limit(0)).count() == 0
+
+
+def brute_classes(ids, pairs):
+    pairs = {(a, b) for a, b in pairs}
+    root = brute_components(pairs)
+    links = dict.fromkeys(ids, 0)
+    for p in pairs:
+        for x in p:
+            links[x] += 1
+    return {(x, root.get(x, x), links[x]) for x in ids}
+
+
+def test_query_returns_a_row_per_document(spark, tmp_path):
+    """Copies and near copies: pairs grow with the square of a group, rows of the query don't."""
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 1 << 40, n))
+    base, other = words(60), words(40)
+    rows = [(k, base) for k in range(100, 130)] + [(k, f"{base} {words(1)}") for k in range(130, 140)] + [(k, other) for k in (7, 3, 9)] + [(k, words(30)) for k in range(5)[::2]] + [(50, ""), (51, None), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = j.query(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "class_id", "links"]
+    got = [tuple(r) for r in found.collect()]
+    ids = {k for k, _ in rows if k is not None}
+    assert len(got) == len(ids) and j.join(docs).count() == 40 * 39 // 2 + 3
+    assert set(got) == brute_classes(ids, brute_pairs([(k, t or "") for k, t in rows if k is not None]))
+    assert (135, 100, 39) in got and (9, 3, 2) in got and (50, 50, 0) in got
+
+
+def test_classes_of_documents_with_several_texts(spark, nasty):
+    rng = np.random.default_rng(14)
+    texts = [" ".join(f"u{x}" for x in rng.integers(0, 1 << 40, 30)) for _ in range(5)]
+    near = lambda k: f"{texts[k]} more"
+    rows = [(1, texts[0]), (2, near(0)), (2, texts[1]), (3, near(1)), (4, near(1)), (5, near(0)), (5, near(1)), (5, near(1)), (6, texts[2]), (6, near(2)), (7, texts[3]), (8, texts[4]), (8, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {(r.doc_id_a, r.doc_id_b) for r in j.join(docs).collect()}
+    assert {tuple(r) for r in j.classes(docs).collect()} == brute_classes({k for k, _ in rows}, pairs) and (1, 5) in pairs and (4, 5) in pairs
+    odd = {(r.doc_id, r.class_id, r.links) for r in j.classes(nasty).collect()}
+    assert odd == {(1, 1, 1), (2, 1, 1), (7, 7, 1), (8, 7, 1)} | {(k, k, 0) for k in (3, 4, 5, 6, 9, 10, 11, 12)}
+    assert j.classes(nasty.limit(0)).count() == 0
