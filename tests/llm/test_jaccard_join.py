@@ -217,3 +217,41 @@ def test_classes_of_documents_with_several_texts(spark, nasty):
     odd = {(r.doc_id, r.class_id, r.links) for r in j.classes(nasty).collect()}
     assert odd == {(1, 1, 1), (2, 1, 1), (7, 7, 1), (8, 7, 1)} | {(k, k, 0) for k in (3, 4, 5, 6, 9, 10, 11, 12)}
     assert j.classes(nasty.limit(0)).count() == 0
+
+
+def test_stored_rows_grow_as_the_nodes_do(spark, monkeypatch):
+    """600 near copies make 179,700 pairs; no stored table has rows for them, in the query or the pipeline's stage."""
+    docs, most, stored = variants(spark, 600), [], common.stored
+
+    def counting(df, name):
+        made = stored(df, name)
+        most.append((made.count(), name))
+        return made
+
+    monkeypatch.setattr(common, "stored", counting)
+    assert {(r.class_id, r.links) for r in j.classes(docs).collect()} == {(0, 599)} and j.drop_near(docs).count() == 1
+    assert max(most)[0] <= 600 * j.ROUTE, max(most)
+
+
+def test_overlaps(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n, m, often in ((1, 0, 4), (2, 1, 4), (50, 20, 32), (200, 0, 4), (200, 90, 4)):
+        monkeypatch.setattr(j, "OFTEN", often)
+        sets = [np.unique(rng.integers(0, 30_000 if k % 3 else 300, rng.integers(1, 300))) for k in range(n)]
+        found = j.overlaps(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), m)
+        assert all(found[a, b - m] == len(np.intersect1d(sets[a], sets[b])) for a in range(m or n) for b in range(m or a + 1, n))
+
+
+def test_counts_over_blocks(spark):
+    docs = variants(spark)
+    _, nodes, ties = j.node_ties(docs)
+    weights = nodes.select(F.col("sid").alias("node"), F.when(F.col("doc_id") == 7, -3).otherwise(1).alias("weight"))
+    rows = j.counted(docs, nodes, ties, 5, 0.4, weights, cell=1000).collect()
+    odd = nodes.filter("doc_id = 7").first().sid
+    links = {}
+    for r in rows:
+        if r.kind == 0:
+            links[r.a] = links.get(r.a, 0) + r.n
+    assert len(links) == 300 and all(n == (299 if a == odd else 300) for a, n in links.items())
+    assert len({r.b for r in rows if r.kind == 2}) == 299 and {r.a for r in rows if r.kind == 2} == {odd}
+    assert len(brute_components({(r.a, r.b) for r in rows if r.kind == 1})) == 300
