@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import codecs
 from collections import Counter
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -18,6 +20,8 @@ CODECS = {
 }
 BOMS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be")]
 EAST_ASIAN = ["gb18030", "big5"]
+#: Bytes that Python takes out of a batch at a time.
+PIECE = 1 << 20
 
 
 def detect_bytes(data: bytes) -> str:
@@ -60,20 +64,48 @@ def decode_bytes(data: bytes | None, label: str | None) -> str | None:
     return bytes(data).decode(codec, "replace").removeprefix("﻿")
 
 
-@F.pandas_udf(StringType())
-def _decode(data: pd.Series, label: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else decode_bytes(d, x) for d, x in zip(data, label)], dtype=object)
+def _pieces(f: Callable[[Iterator[tuple]], list], kind: pa.DataType) -> Callable[..., Iterator[pa.Array]]:
+    """An Arrow function that calls ``f`` with the values of so many rows as have about ``PIECE`` bytes, so that Python holds few values at a time besides the batch."""
 
+    def run(batches: Iterator) -> Iterator[pa.Array]:
+        for batch in batches:
+            columns, made, start, held = batch if isinstance(batch, tuple) else (batch,), [], 0, 0
+            size = pc.fill_null(pc.binary_length(columns[0]), 0).to_numpy(zero_copy_only=False)
+            for k in range(len(size)):
+                held += int(size[k])
+                if held >= PIECE or k + 1 == len(size):
+                    made.append(pa.array(f(zip(*(c.slice(start, k + 1 - start).to_pylist() for c in columns))), kind))
+                    start, held = k + 1, 0
+            done = pa.concat_arrays(made) if made else pa.array([], kind)
+            del made, batch, columns
+            yield done
+            del done
+            pa.default_memory_pool().release_unused()
 
-@F.pandas_udf(StringType())
-def _detect(data: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else detect_bytes(bytes(d)) for d in data], dtype=object)
+    return run
 
 
-@F.pandas_udf(StructType([StructField("encoding", StringType()), StructField("text", StringType())]))
-def _detect_decode(data: pd.Series) -> pd.DataFrame:
-    labels = [None if d is None else detect_bytes(bytes(d)) for d in data]
-    return pd.DataFrame({"encoding": labels, "text": [None if x is None else decode_bytes(d, x) for d, x in zip(data, labels)]}, dtype=object)
+_FOUND = pa.struct([("encoding", pa.string()), ("text", pa.string())])
+
+
+def _detected(rows: Iterator[tuple]) -> list:
+    found = ((d, None if d is None else detect_bytes(d)) for (d,) in rows)
+    return [None if x is None else {"encoding": x, "text": decode_bytes(d, x)} for d, x in found]
+
+
+@F.arrow_udf(StringType())
+def _decode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    return _pieces(lambda rows: [decode_bytes(d, x) for d, x in rows], pa.string())(batches)
+
+
+@F.arrow_udf(StringType())
+def _detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _pieces(lambda rows: [None if d is None else detect_bytes(d) for (d,) in rows], pa.string())(batches)
+
+
+@F.arrow_udf(StructType([StructField("encoding", StringType()), StructField("text", StringType())]))
+def _detect_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _pieces(_detected, _FOUND)(batches)
 
 
 def _valid(content: Column) -> Column:
@@ -92,8 +124,15 @@ def decode_text(content: Column, encoding: Column) -> Column:
     return F.when(easy, _plain(content)).otherwise(_decode(F.when(~easy, content), encoding))
 
 
+def _marked(content: Column) -> Column:
+    """The label of the byte-order mark, null without one."""
+    return F.coalesce(*(F.when(F.startswith(content, F.lit(mark)), F.lit(label)) for mark, label in BOMS))
+
+
 def detect_encoding(content: Column) -> Column:
-    return F.when(_valid(content), F.lit("utf-8")).otherwise(_detect(F.when(~_valid(content), content)))
+    """Byte-order marks and valid UTF-8 are told on the JVM; Python gets the rest only."""
+    told = F.when(_valid(content), F.lit("utf-8")).otherwise(_marked(content))
+    return F.coalesce(told, _detect(F.when(told.isNull(), content)))
 
 
 def detect_decode(content: Column) -> Column:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,18 @@ def test_debounced_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("debounced").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.user, r.v) for r in spark.table("debounced").collect()) == [(1, "ab"), (1, "abc"), (2, "z")]
+
+
+def test_python_decodes_a_batch_in_pieces():
+    """A batch of 10,000 rows isn't taken into Python values as a whole."""
+    held, values = [], [b"\xff\xfe" + f"{k}".encode("utf-16-le") * 50_000 for k in range(60)] + [None]
+
+    def decoded(taken):
+        taken = list(taken)
+        held.append(sum(len(d or b"") for d, _ in taken))
+        return [charset.decode_bytes(d, x) for d, x in taken]
+
+    batch = (pa.array(values, pa.binary()), pa.array(["utf-16le"] * 61))
+    found = list(charset._pieces(decoded, pa.string())(iter([batch, (batch[0].slice(0, 0), batch[1].slice(0, 0))])))
+    assert found[0].to_pylist() == [f"{k}" * 50_000 for k in range(60)] + [None] and len(found[1]) == 0
+    assert len(held) > 6 and max(held) <= charset.PIECE + max(len(v) for v in values[:-1])
